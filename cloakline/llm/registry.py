@@ -6,6 +6,7 @@ import importlib
 
 #: Query name and its module; modules are imported when their query is called or listed.
 QUERIES = {
+    "op2_token_files": "cloakline.llm.simple8b",
     "op4_bpe": "cloakline.llm.bpe",
 }
 #: Modules that define ORACLE_SQL for their query.
