@@ -7,10 +7,11 @@ import importlib
 #: Query name and its module; modules are imported when their query is called or listed.
 QUERIES = {
     "op2_token_files": "cloakline.llm.simple8b",
+    "op3_exact_dedup": "cloakline.llm.exact_dedup",
     "op4_bpe": "cloakline.llm.bpe",
 }
 #: Modules that define ORACLE_SQL for their query.
-WITH_SQL: tuple[str, ...] = ()
+WITH_SQL: tuple[str, ...] = ("op3_exact_dedup",)
 
 
 def queries() -> dict:
