@@ -9,9 +9,11 @@ QUERIES = {
     "op2_token_files": "cloakline.llm.simple8b",
     "op3_exact_dedup": "cloakline.llm.exact_dedup",
     "op4_bpe": "cloakline.llm.bpe",
+    "op9_warc": "cloakline.llm.warc",
+    "op10_mixture": "cloakline.llm.mixture",
 }
 #: Modules that define ORACLE_SQL for their query.
-WITH_SQL: tuple[str, ...] = ("op3_exact_dedup",)
+WITH_SQL: tuple[str, ...] = ("op3_exact_dedup", "op9_warc")
 
 
 def queries() -> dict:
