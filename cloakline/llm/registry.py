@@ -6,14 +6,16 @@ import importlib
 
 #: Query name and its module; modules are imported when their query is called or listed.
 QUERIES = {
+    "op1_fingerprints": "cloakline.llm.fingerprint",
     "op2_token_files": "cloakline.llm.simple8b",
     "op3_exact_dedup": "cloakline.llm.exact_dedup",
     "op4_bpe": "cloakline.llm.bpe",
+    "op6_chat": "cloakline.llm.chat",
     "op9_warc": "cloakline.llm.warc",
     "op10_mixture": "cloakline.llm.mixture",
 }
 #: Modules that define ORACLE_SQL for their query.
-WITH_SQL: tuple[str, ...] = ("op3_exact_dedup", "op9_warc")
+WITH_SQL: tuple[str, ...] = ("op3_exact_dedup", "op6_chat", "op9_warc")
 
 
 def queries() -> dict:
