@@ -11,6 +11,7 @@ QUERIES = {
     "op3_exact_dedup": "cloakline.llm.exact_dedup",
     "op4_bpe": "cloakline.llm.bpe",
     "op6_chat": "cloakline.llm.chat",
+    "op7_near_dedup": "cloakline.llm.near_dedup",
     "op9_warc": "cloakline.llm.warc",
     "op10_mixture": "cloakline.llm.mixture",
 }
