@@ -108,8 +108,8 @@ def cuts(rows: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """The rows of the mix with all their columns, each as often as it is taken."""
-    copies = plan(docs, **how).filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("copies").alias("_copies")).dropDuplicates(["_id"])
+    """The rows of the mix with all their columns, each as often as it is taken (rows of one doc_id: the most of them)."""
+    copies = plan(docs, **how).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).filter("_copies > 0")
     rows = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("_id")))
     return rows.withColumn("_copy", F.explode(F.expr("sequence(1L, _copies)"))).select(*[docs[c] for c in docs.columns])
 

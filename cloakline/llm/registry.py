@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-#: Query name and its module; modules are imported when their query is called or listed.
+#: Query name and its module; modules are imported when queries are listed.
 QUERIES = {
     "op1_fingerprints": "cloakline.llm.fingerprint",
     "op2_token_files": "cloakline.llm.simple8b",
@@ -12,16 +12,17 @@ QUERIES = {
     "op4_bpe": "cloakline.llm.bpe",
     "op6_chat": "cloakline.llm.chat",
     "op7_near_dedup": "cloakline.llm.near_dedup",
+    "op8_quality": "cloakline.llm.quality",
     "op9_warc": "cloakline.llm.warc",
     "op10_mixture": "cloakline.llm.mixture",
+    "pipeline": "corpus_pipeline",
 }
 #: Modules that define ORACLE_SQL for their query.
 WITH_SQL: tuple[str, ...] = ("op3_exact_dedup", "op6_chat", "op9_warc")
 
 
 def queries() -> dict:
-    out = {name: importlib.import_module(module).query for name, module in QUERIES.items()}
-    return out
+    return {name: importlib.import_module(module).query for name, module in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
