@@ -10,6 +10,7 @@ QUERIES = {
     "op2_token_files": "cloakline.llm.simple8b",
     "op3_exact_dedup": "cloakline.llm.exact_dedup",
     "op4_bpe": "cloakline.llm.bpe",
+    "op5_secrets": "cloakline.llm.secrets",
     "op6_chat": "cloakline.llm.chat",
     "op7_near_dedup": "cloakline.llm.near_dedup",
     "op8_quality": "cloakline.llm.quality",
