@@ -115,28 +115,33 @@ def next_lower(ids: DataFrame) -> DataFrame:
 def edited_pairs(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, with likenesses.
 
-    Repeated doc_ids each get a row; the next document of all of them is the row of the next smaller id whose text is
-    smallest. A null doc_id counts as the smallest number.
+    Texts are shuffled once, by id, and half texts once more, to their predecessors; fingerprints are made where text
+    and head meet, and only they go on. Repeated doc_ids each get a row; the next document of all of them is the row of
+    the next smaller id whose text has the smallest digest. A null doc_id counts as the smallest number.
     """
     least = -(1 << 63)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    printed = rows.select("doc_id", "text", F.length("text").alias("n"), fingerprint(F.col("text")).alias("fingerprint"))
-    printed = common.staged(printed, "fingerprints")
-    links = common.staged(next_lower(printed.select("doc_id")), "links")
+    links = common.staged(next_lower(rows.select("doc_id")), "links")
     # Each next document's head is only as long as the longest text that takes it.
-    need = printed.groupBy("doc_id").agg(F.max(F.expr("n div 2")).alias("need"))
-    wanted = links.join(need, "doc_id").select(F.col("doc_id").alias("of"), F.col("next_id").alias("doc_id"), "need")
-    one = printed.select("doc_id", "text", "fingerprint")
-    heads = wanted.join(one, "doc_id").select("of", F.expr("left(text, cast(need as int))").alias("head"), F.col("fingerprint").alias("next_fingerprint"))
-    repeated = printed.count() != links.count()
+    need = rows.groupBy("doc_id").agg(F.max(F.expr("length(text) div 2")).alias("need"), F.count("*").alias("rows"))
+    need = common.staged(need, "need")
+    repeated = not need.filter("rows > 1").isEmpty()
+    wanted = links.join(need.select("doc_id", "need"), "doc_id").select(F.col("doc_id").alias("of"), F.col("next_id").alias("doc_id"), "need")
+    heads = wanted.join(rows, "doc_id").select("of", F.expr("left(text, cast(need as int))").alias("head"), *([F.sha2("text", 256).alias("digest")] if repeated else []))
     if repeated:
-        heads = heads.groupBy("of").agg(F.min(F.struct("head", "next_fingerprint")).alias("x")).select("of", "x.*")
-    edited = printed.join(heads, F.col("doc_id") == F.col("of")).select(
-        "doc_id", F.col("n").cast("long").alias("n_chars"), "fingerprint", "next_fingerprint",
-        F.concat(F.expr("left(text, n - n div 2)"), F.expr("left(head, n div 2)")).alias("edited"),
+        heads = heads.groupBy("of").agg(F.min_by("head", "digest").alias("head"))
+    n = F.length("text")
+    edited = rows.join(heads, F.col("doc_id") == F.col("of")).select(
+        "doc_id", n.cast("long").alias("n_chars"), "text", F.concat(F.expr("left(text, length(text) - length(text) div 2)"), F.expr("left(head, length(text) div 2)")).alias("edited"),
     )
-    edited = edited.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint")
-    return edited.select(
+    slim = edited.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"),
+        *([F.sha2("text", 256).alias("digest")] if repeated else []),
+    )
+    slim = common.staged(slim, "fingerprints")
+    one = slim.groupBy("doc_id").agg(F.min_by("fingerprint", "digest").alias("f")) if repeated else slim.select("doc_id", F.col("fingerprint").alias("f"))
+    following = links.join(one.withColumnRenamed("doc_id", "next_id"), "next_id").select(F.col("doc_id").alias("of"), F.col("f").alias("next_fingerprint"))
+    return slim.join(following, F.col("doc_id") == F.col("of")).select(
         F.when(F.col("doc_id") != least, F.col("doc_id")).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
     )
