@@ -178,7 +178,8 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, mar
     spark = common.bounded_batches(docs.sparkSession)
     good = common.staged(trusted_ids(labels), "trusted")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
-    texts = rows.join(good, F.col("doc_id") == F.col("_trusted"), "left_semi").select("text")
+    # Asked for as a merge join at every size: texts are shuffled once, however many labels there are.
+    texts = rows.join(good.hint("merge"), F.col("doc_id") == F.col("_trusted"), "left_semi").select("text")
     table = train(texts)
     scored = common.staged(scores(rows, table), "scores")
     mine = scored.join(good, F.col("doc_id") == F.col("_trusted"), "left_semi").filter("n_chars_scored > 0")
