@@ -5,10 +5,10 @@ equal sets are one class, so copies never meet each other again: only a class's
 
 Signatures are minima of many multiply-add hashes. Bands of them are bucket keys; band and row counts follow from
 the similarity so that a pair at the threshold is missed with a probability below MISS. In each bucket every member
-is held against one centre: the smallest doc_id in one half of the bands, the smallest of a hash in the other, so
+is held against one centre: the smallest doc_id in one half of the buckets, the smallest of a hash in the other, so
 that a member of a large group of near copies meets many different centres and no bucket makes all its pairs.
 Components of the links found so far then show which buckets still hold members of different components; only
-there are the pairs across components made, held against each other by signature within blocks, and confirmed.
+their members are held against each other, in blocks, within tasks that give out links and nothing else.
 
 Two documents are linked only if their full shingle sets say so. Components come from alternating large-star and
 small-star steps, each written to the shared folder, so executors may be lost at any time.
@@ -21,7 +21,6 @@ are not read.
 from __future__ import annotations
 
 import hashlib
-from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +37,10 @@ MISS = 1e-6
 SLACK = 0.16
 SEED = 77
 GREATEST = (1 << 63) - 1
-#: Members of a bucket that one block holds when pairs across components are made.
-BLOCK = 256
+#: Members that one block holds when members of different components meet.
+BLOCK = 1024
+#: Bits of the map of ids whose sets are wanted.
+BITMAP = 63 << 20
 
 
 def bands_for(threshold: float, hashes: int = HASHES, miss: float = MISS) -> tuple[int, int]:
@@ -127,71 +128,53 @@ def mixed_bands(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def live_members(reps: DataFrame) -> DataFrame:
+    """key, doc_id, centre of each member of a bucket with several members.
+
+    Buckets of one, nearly all, end here. The same plan is asked for at every size, so growth can be foreseen.
+    """
+    members = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
+    # Whether the centre is the smallest id or the smallest hash follows from the key itself.
+    least, hashed = F.min("doc_id"), F.min(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id"))["doc_id"]
+    centres = members.groupBy("key").agg(least.alias("least"), hashed.alias("hashed"), F.count("*").alias("size")).filter("size > 1")
+    centres = common.staged(centres.select(F.col("key").alias("_key"), F.when(F.col("key") % 2 == 0, F.col("least")).otherwise(F.col("hashed")).alias("centre")), "centres")
+    return common.staged(members.join(centres.hint("merge"), F.col("key") == F.col("_key")).select("key", "doc_id", "centre"), "members")
+
+
 def star_pairs(members: DataFrame) -> DataFrame:
-    """a < b for each member of a bucket and its centre. members: key, band, doc_id."""
-    centres = members.groupBy("key", "band").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("doc_id"))).alias("hashed"), F.count("*").alias("size"))
-    centres = centres.filter("size > 1").select(F.col("key").alias("_key"), F.when(F.col("band") % 2 == 0, F.col("least")).otherwise(F.col("hashed.doc_id")).alias("centre"))
-    centres = common.staged(centres, "centres")
-    pairs = members.join(centres, F.col("key") == F.col("_key")).filter("doc_id != centre")
+    """a < b for each member of a bucket and its centre."""
+    pairs = members.filter("doc_id != centre")
     return pairs.select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links: signatures first, then the full sets of those that may be."""
+def confirmed(pairs: DataFrame, signatures: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that are links: signatures first, then the full sets of those that may be.
+
+    signatures: doc_id, n_shingles, sig. sets: doc_id, shingles.
+    """
     least = percent / 100 - SLACK
-    info = reps.select("doc_id", "n_shingles", "sig")
-    both = pairs.join(info.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa")), "a")
-    both = both.join(info.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb")), "b")
+    of = lambda df, at, **names: df.select(F.col("doc_id").alias(at), *[F.col(c).alias(n) for c, n in names.items()])
+    both = pairs.join(of(signatures, "a", n_shingles="na", sig="sa").hint("merge"), "a").join(of(signatures, "b", n_shingles="nb", sig="sb").hint("merge"), "b")
     both = both.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
 
     def near(batches):
         for batch in batches:
             if batch.num_rows:
-                sa = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, HASHES)
-                sb = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, HASHES)
+                sa, sb = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, HASHES) for k in (2, 3))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(agreement(sa, sb) >= least))
 
     maybe = common.staged(both.select("a", "b", "sa", "sb").mapInArrow(near, "a long, b long"), "maybe")
-    wanted = maybe.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    keys = reps.select("doc_id", "n_shingles", "class")
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(GREATEST)).alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
-    texts = common.staged(first_of_class(texts, keys), "texts")
-    full = maybe.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-
-    def sets(batches):
-        known: OrderedDict[int, np.ndarray] = OrderedDict()
-
-        def of(doc_id, text):
-            if doc_id in known:
-                known.move_to_end(doc_id)
-                return known[doc_id]
-            known[doc_id] = shingles(text.as_py())
-            if len(known) > 64:
-                known.popitem(last=False)
-            return known[doc_id]
+    full = maybe.join(of(sets, "b", shingles="tb").hint("merge"), "b").join(of(sets, "a", shingles="ta").hint("merge"), "a")
 
+    def whole(batches):
         for batch in batches:
             keep = []
-            for a, b, ta, tb in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                x, y = of(a, ta), of(b, tb)
+            for ta, tb in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(t.as_buffer(), np.uint64) for t in (ta, tb))
                 keep.append(linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return common.staged(full.select("a", "b", "ta", "tb").mapInArrow(sets, "a long, b long"), "links")
-
-
-def first_of_class(texts: DataFrame, reps: DataFrame) -> DataFrame:
-    """One text for each representative. A repeated doc_id may have other texts; the set's digest tells."""
-    joined = texts.join(reps, "doc_id")
-
-    def same(batches):
-        for batch in batches:
-            keep = []
-            for text, digest in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-                keep.append(hashlib.blake2b(shingles(text.as_py()).tobytes(), digest_size=16).hexdigest() == digest)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["doc_id", "text"]).filter(pa.array(keep, pa.bool_()))
-
-    return joined.select("doc_id", "text", "class").mapInArrow(same, "doc_id long, text string")
+    return common.staged(full.select("a", "b", "ta", "tb").mapInArrow(whole, "a long, b long"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -221,67 +204,123 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy("hi").agg(F.min("lo").alias("component")).select(F.col("hi").alias("doc_id"), "component")
 
 
-def across(members: DataFrame, of: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket's members that lie in different components and whose signatures are near.
-
-    A bucket's members come in blocks of bounded size. Every block of a bucket meets every other once, as one row
-    each; only pairs that may be links leave a meeting.
+def shared(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of a sorted set with others, none of them empty."""
+    every = np.concatenate(others)
+    at = np.minimum(np.searchsorted(x, every), len(x) - 1)
+    starts = np.cumsum([0, *map(len, others[:-1])])
+    return np.add.reduceat((x[at] == every).astype(np.int64), starts)
+
+
+def meeting(ids: np.ndarray, parts: np.ndarray, left: np.ndarray, right: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join different parts, each confirmed on full sets; none for what is joined already."""
+    parts, out, n = parts.copy(), [], np.array([len(x) for x in sets])
+    for x in left:
+        others = right[(parts[right] != parts[x]) & (100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x]))]
+        if len(others):
+            others = others[agreement(sig[others], sig[x]) >= percent / 100 - SLACK]
+        if not len(others):
+            continue
+        common_sizes = shared(sets[x], [sets[y] for y in others])
+        for y in others[100 * common_sizes >= percent * (n[others] + n[x] - common_sizes)]:
+            if parts[y] != parts[x]:
+                out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+                parts[parts == parts[y]] = parts[x]
+    return out
+
+
+def across(members: DataFrame, of: DataFrame, signatures: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between members of a bucket that lie in different components.
+
+    Buckets that still hold several components are joined into groups where they share members. A group's members
+    come in blocks of bounded size, and every two blocks meet once, in a task of their own: there each member is held
+    against the others' signatures and, where these are near, against their full sets. Only links leave a meeting, at
+    most one fewer than its members, so the work in a group of many unlinked near copies never becomes rows.
     """
-    least = percent / 100 - SLACK
-    placed = members.join(of.select(F.col("doc_id").alias("_d"), "component"), F.col("doc_id") == F.col("_d"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    placed = members.join(of.select(F.col("doc_id").alias("_d"), "component"), F.col("doc_id") == F.col("_d"), "left").select("key", "doc_id", "centre", F.coalesce("component", "doc_id").alias("component"))
     placed = common.staged(placed, "placed")
-    open_ = placed.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("size")).filter("c1 != c2")
-    open_ = common.staged(open_.select(F.col("key").alias("_key"), ((F.col("size") - 1) / BLOCK).cast("int").alias("last")), "open")
-    info = reps.select(F.col("doc_id").alias("_r"), "n_shingles", "sig")
-    rows = placed.join(open_, F.col("key") == F.col("_key")).select("key", "doc_id", "component", "last").join(info, F.col("doc_id") == F.col("_r"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("last") + 1).cast("int"))
-    # Each block's rows go to every meeting of that block: (block, other) with the smaller number first.
+    open_ = placed.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 != c2").select(F.col("key").alias("_key"))
+    rows = common.staged(placed.join(open_, F.col("key") == F.col("_key")).select("doc_id", "centre", "component"), "open")
+    group = components(rows.select(F.col("doc_id").alias("a"), F.col("centre").alias("b")))
+    nodes = rows.select("doc_id", "component").distinct().join(group.withColumnRenamed("component", "group").withColumnRenamed("doc_id", "_g"), F.col("doc_id") == F.col("_g"), "left")
+    nodes = common.staged(nodes.select("doc_id", "component", F.coalesce("group", "doc_id").alias("group")), "nodes")
+    sizes = nodes.groupBy("group").agg(F.floor((F.count("*") - 1) / BLOCK).cast("int").alias("last")).withColumnRenamed("group", "_group")
+    nodes = nodes.join(sizes, F.col("group") == F.col("_group")).select("group", "last", "doc_id", "component")
+    nodes = nodes.join(signatures.select(F.col("doc_id").alias("_r"), "sig").hint("merge"), F.col("doc_id") == F.col("_r"))
+    nodes = nodes.join(sets.withColumnRenamed("doc_id", "_s").hint("merge"), F.col("doc_id") == F.col("_s"))
+    rows = nodes.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("last") + 1).cast("int"))
+    # Each block goes to its meetings with all blocks, itself included: (block, other), the smaller number first.
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "component", "n_shingles", "sig")
+    rows = rows.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "component", "sig", "shingles")
 
     def meet(key, group):
         ids, parts, where = (np.array(group.column(k)) for k in ("doc_id", "component", "block"))
-        n = np.array(group.column("n_shingles"))
         sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
-        i, j = key[1].as_py(), key[2].as_py()
-        left, right = np.flatnonzero(where == i), np.flatnonzero(where == j)
-        found = []
-        for x in left:
-            others = right[(parts[right] != parts[x]) & (100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x]))]
-            if i == j:
-                others = others[ids[others] > ids[x]]
-            others = others[agreement(sig[others], sig[x]) >= least] if len(others) else others
-            found.append(np.stack([np.minimum(ids[others], ids[x]), np.maximum(ids[others], ids[x])]))
-        pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
+        sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+        found = meeting(ids, parts, np.flatnonzero(where == key[1].as_py()), np.flatnonzero(where == key[2].as_py()), sig, sets, percent)
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
-    return rows.groupBy("key", "i", "j").applyInArrow(meet, "a long, b long").distinct()
+    return common.staged(rows.groupBy("group", "i", "j").applyInArrow(meet, "a long, b long"), "cross_links")
 
 
-def groups(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept, n_links.
+def bitmap(ids: DataFrame) -> np.ndarray:
+    """A bit for the hash of every id: BITMAP bits whatever the number of ids, so it may go to every task."""
+    hashed = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP)).alias("h"))
+    words = hashed.selectExpr("h div 63 as w", "shiftleft(1L, cast(h % 63 as int)) as bit")
+    rows = words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most BITMAP / 63 rows
+    out = np.zeros(BITMAP // 63 + 1, np.int64)
+    out[rows["w"].to_numpy()] = rows["bits"].to_numpy()
+    return out
 
-    percent: the least similarity of a link. n_links counts the links found of the document's class to others; it is
-    a lower bound within large groups, since pairs inside one component need no further links.
+
+def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id and shingles (sorted 64-bit hashes) of the wanted representatives (doc_id, class).
+
+    Texts aren't shuffled: a bitmap of the wanted ids lets tasks pass over nearly all others, and what its chance hits
+    let through goes in the join. With very many ids the bitmap lets more through and the join does more.
     """
+    spark = common.bounded_batches(docs.sparkSession)
+    bits = spark.sparkContext.broadcast(bitmap(wanted.select("doc_id")))
+
+    def run(batches):
+        for batch in batches:
+            h = batch.column(2).to_numpy()
+            hit = np.flatnonzero((bits.value[h // 63] >> (h % 63)) & 1)
+            for k in range(0, len(hit), 64):
+                some = batch.take(pa.array(hit[k : k + 64]))
+                data = [shingles(t.as_py()).tobytes() for t in some.column(1)]
+                digests = [hashlib.blake2b(x, digest_size=16).hexdigest() for x in data]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(digests, pa.string()), pa.array(data, pa.binary())], names=["doc_id", "class", "shingles"])
+
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(GREATEST)).alias("doc_id"), "text").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP)))
+    found = texts.mapInArrow(run, "doc_id long, class string, shingles binary")
+    # A repeated doc_id may have several texts, and a text several rows: one of the right set is enough.
+    mine = found.join(wanted.select("doc_id", "class").hint("merge"), ["doc_id", "class"], "left_semi").dropDuplicates(["doc_id"])
+    return common.staged(mine.select("doc_id", "shingles"), "sets")
+
+
+def groups(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept. percent: the least similarity of a link."""
     bands, per_band = bands_for(percent / 100)
     rows = common.staged(signed(docs, bands, per_band), "signed")
     classes = common.staged(rows.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("rep")), "classes")
     reps = rows.filter("n_shingles > 0").join(classes.withColumnRenamed("class", "_class"), (F.col("doc_id") == F.col("rep")) & (F.col("class") == F.col("_class"))).dropDuplicates(["class"])
     reps = common.staged(reps.select("doc_id", "n_shingles", "class", "sig", "bands"), "representatives")
-    members = common.staged(reps.select("doc_id", F.posexplode("bands").alias("band", "key")), "members")
-    links = confirmed(star_pairs(members), docs, reps, percent)
+    members = live_members(reps)
+    # From here on only documents that share a bucket with another are looked at.
+    live = members.select(F.col("doc_id").alias("_live")).distinct()
+    signatures = common.staged(reps.join(live.hint("merge"), F.col("doc_id") == F.col("_live")).select("doc_id", "n_shingles", "class", "sig"), "live")
+    sets = whole_sets(docs, signatures)
+    signatures = signatures.drop("class")
+    links = confirmed(star_pairs(members), signatures, sets, percent)
+    links = links.unionByName(across(members, components(links), signatures, sets, percent))
     of = components(links)
-    more = confirmed(across(members, of, reps, percent), docs, reps, percent)
-    links = common.staged(links.unionByName(more).distinct(), "all_links")
-    of = common.staged(components(links), "components")
-    counted = links.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("links"))
-    placed = classes.join(of.withColumnRenamed("doc_id", "_d"), F.col("rep") == F.col("_d"), "left").join(counted.withColumnRenamed("doc_id", "_c"), F.col("rep") == F.col("_c"), "left")
-    placed = common.staged(placed.select(F.col("class").alias("_class"), F.coalesce("component", "rep").alias("component"), F.coalesce("links", F.lit(0).cast("long")).alias("links")), "placed")
+    placed = classes.join(of.withColumnRenamed("doc_id", "_d"), F.col("rep") == F.col("_d"), "left")
+    placed = common.staged(placed.select(F.col("class").alias("_class"), F.coalesce("component", "rep").alias("component")), "placed")
     out = rows.select("doc_id", "n_shingles", "class").join(placed, F.col("class") == F.col("_class"), "left")
     null_id = lambda c: F.when(c != GREATEST, c)
     component = F.coalesce("component", "doc_id")
-    return out.select(null_id(F.col("doc_id")).alias("doc_id"), "n_shingles", null_id(component).alias("component_id"), (F.col("doc_id") == component).alias("kept"), F.coalesce("links", F.lit(0).cast("long")).alias("n_links"))
+    return out.select(null_id(F.col("doc_id")).alias("doc_id"), "n_shingles", null_id(component).alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, percent: int = 80) -> DataFrame:
