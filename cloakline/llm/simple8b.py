@@ -15,7 +15,9 @@ doc_id comes first. Only doc_id and text are read, so other columns may have any
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -34,7 +36,8 @@ MAGIC = 0x31423853
 BLOCK = 128
 #: Ids after which an image ends; one document is never cut.
 IMAGE_IDS = 1 << 17
-PIECES_CACHED, CACHED_CHARS = 400_000, 64
+PIECES_CACHED, CACHED_CHARS = 600_000, 64
+MARKS = frozenset(".,;:!?")
 FILE_SCHEMA = "shard int, image int, first long, n_ids long, payload binary"
 OUT_SCHEMA = "shard int, doc_id long, first long, n_tokens long, ids_crc32 long"
 
@@ -137,7 +140,12 @@ def read_image(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 
 class Encoder:
-    """The tokenizers library behind a cache of text pieces: a tokenizer that drops spaces works on each apart."""
+    """The tokenizers library behind a cache of text pieces: a tokenizer that drops spaces works on each apart.
+
+    New words made of letters go through the library together, as one text, and their ids are cut at the tokens that
+    end a word. A final mark after letters is always a word of its own, so it is looked up apart. Such a tokenizer
+    lower-cases ASCII letters, which a check at the start confirms, so capitals share the entry of their small letters.
+    """
 
     def __init__(self, source: str):
         from tokenizers import Tokenizer
@@ -145,30 +153,88 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(source)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        suffix = json.loads(source)["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(0, bool)
+        folds = self.tokenizer.encode("ABCXYZ", add_special_tokens=False).ids == self.tokenizer.encode("abcxyz", add_special_tokens=False).ids
+        if suffix and folds:
+            vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.ends = np.zeros(max(vocab.values()) + 1, bool)
+            self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def _apart(self, pieces: list[str]) -> None:
+        for k in range(0, len(pieces), 4096):
+            some = pieces[k : k + 4096]
+            found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            self.young.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(some, found, strict=True))
+
+    def _together(self, words: list[str]) -> None:
+        for k in range(0, len(words), 2048):
+            some = words[k : k + 2048]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(some) or cuts[-1] != len(ids):  # a letter whose lower case or normal form is several words
+                self._apart(some)
+                continue
+            data, bounds = ids.tobytes(), (cuts * 4).tolist()
+            self.young.update((w, data[a:b]) for w, a, b in zip(some, [0, *bounds], bounds, strict=False))
+
+    def _learn(self, pieces: set[str]) -> None:
+        young, old = self.young, self.old
+        words, apart, marked, cased = set(), [], [], []
+        for p in pieces:
+            if p in old:
+                young[p] = old[p]
+                continue
+            if p.isalpha():
+                w = p
+            elif p[-1:] in MARKS and p[:-1].isalpha():
+                w = p[:-1]
+                marked.append((p, w))
+            else:
+                apart.append(p)
+                continue
+            low = w.lower() if w.isascii() else w
+            if low != w:
+                cased.append((w, low))
+            if low not in young:
+                words.add(low)
+        if not len(self.ends):
+            return self._apart([*apart, *words, *(w for w, _ in cased), *(p for p, _ in marked)])
+        self._together([w for w in words if len(w) <= CACHED_CHARS])
+        self._apart(apart + [w for w in words if len(w) > CACHED_CHARS] + sorted(MARKS - young.keys()))
+        young.update((w, young[low]) for w, low in cased)
+        young.update((p, young[w] + young[p[-1]]) for p, w in marked)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        wanted = set().union(*split) if split else set()
-        wanted.difference_update(self.young)
+        """Little-endian 32-bit ids of each text. The cache has no cycles, so it isn't searched for any meanwhile."""
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
+        if len(self.young) > PIECES_CACHED:
+            self.old, self.young = self.young, {}
+        young, found, wanted = self.young, [], set()
+        for text in texts:
+            pieces = (text or "").replace("\n", " ").split(" ")
+            known = list(map(young.get, pieces))  # the one lookup of each piece; only new ones are looked up again
+            new = [i for i, x in enumerate(known) if x is None] if None in known else []
+            wanted.update([pieces[i] for i in new])
+            found.append((known, [(i, pieces[i]) for i in new]))
         if wanted:
-            if len(self.young) > PIECES_CACHED:
-                self.old, self.young = self.young, {}
-                wanted = set().union(*split)
-            moved = wanted & self.old.keys()
-            self.young.update((p, self.old[p]) for p in moved)
-            wanted -= moved
-            missing = list(wanted)
-            for k in range(0, len(missing), 4096):
-                some = missing[k : k + 4096]
-                found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-                self.young.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(some, found, strict=True))
-        out = [b"".join(map(self.young.__getitem__, pieces)) for pieces in split]
+            self._learn(wanted)
+        out = []
+        for known, new in found:
+            for i, piece in new:
+                known[i] = young[piece]
+            out.append(b"".join(known))
         for piece in wanted:
             if len(piece) > CACHED_CHARS:
-                self.young.pop(piece, None)
+                young.pop(piece, None)
         return out
 
 

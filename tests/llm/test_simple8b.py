@@ -59,3 +59,12 @@ def test_empty_table_and_ties(spark):
     simple8b.write(spark.createDataFrame([(1, "b"), (1, "a"), (None, "c"), (1, "a")], "doc_id long, text string"), word_bpe_file(), 2, path)
     rows = sorted((r.start, r.doc_id) for r in simple8b.read(spark, path).collect())
     assert [r[1] for r in rows] == [None, 1, 1, 1]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(max_size=30) | st.sampled_from(["The", "the,", "Ende.", "İx", "\u0958a", "don't", "it's.", "Σ!", "a" * 90, "x1."]), max_size=30))
+def test_pieces_equal_the_whole_text(parts):
+    source = open(word_bpe_file(), encoding="utf-8").read()
+    text = " ".join(parts)
+    want = Tokenizer.from_str(source).encode(text, add_special_tokens=False).ids if text else []
+    assert np.frombuffer(simple8b.encoder(source).encode([text, None])[0], "<u4").tolist() == want
