@@ -60,7 +60,7 @@ SETS = {
           '2024-01-01T00:00:' || lpad(cast(o_orderkey % 60 as string), 2, '0') || 'Z' as "timestamp",
           cast(o_orderkey % 5 as bigint) as pii_spans_detected, cast(100 - o_orderkey % 80 as bigint) as privacy_score, 'r' || cast(o_orderkey as string) as request_id,
           case when o_orderkey % 4 = 0 then 'audit-v1' else 'audit-v2-canonical-json' end as hash_recipe
-        from orders where o_orderkey <= 6000""",
+        from orders""",
     ),
     "eval_labels": (
         ("customer",),
