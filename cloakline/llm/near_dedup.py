@@ -2,10 +2,11 @@
 
 Documents are sets of distinct five-word shingles (A-Z lower-cased; a shorter text is one shingle). Documents with
 equal sets are one class, so copies never meet each other again: only a class's document of smallest doc_id goes on.
+A class is known by its node, a 64-bit hash of its digest; doc_ids, which may be null or repeated, only name results.
 
 Signatures are minima of many multiply-add hashes. Bands of them are bucket keys; band and row counts follow from
 the similarity so that a pair at the threshold is missed with a probability below MISS. In each bucket every member
-is held against one centre: the smallest doc_id in one half of the buckets, the smallest of a hash in the other, so
+is held against one centre: the smallest node in one half of the buckets, the smallest of a hash in the other, so
 that a member of a large group of near copies meets many different centres and no bucket makes all its pairs.
 Components of the links found so far then show which buckets still hold members of different components; only
 their members are held against each other, in blocks, within tasks that give out links and nothing else.
@@ -14,8 +15,9 @@ Two documents are linked only if their full shingle sets say so. Components come
 small-star steps, each written to the shared folder, so executors may be lost at any time.
 
 Nulls and texts without words have no shingles and are linked with nothing. Repeated doc_ids are taken as documents
-of their own with equal doc_id: all rows get a row back. A null doc_id counts as the largest number. Extra columns
-are not read.
+of their own with equal doc_id: all rows get a row back. A null doc_id counts as the largest number. Where linked
+classes share the smallest doc_id, that of the smallest digest is kept; rows equal in doc_id and set stay together.
+Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -84,6 +86,10 @@ def signature(found: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (best >> np.uint64(32)).astype(np.uint32)
 
 
+def digest(found: np.ndarray) -> str:
+    return hashlib.blake2b(found.tobytes(), digest_size=16).hexdigest()
+
+
 def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Estimated similarity from the low bytes of two signatures."""
     return ((a == b).mean(axis=-1) - 1 / 256) / (1 - 1 / 256)
@@ -109,7 +115,7 @@ def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 n.append(len(found))
                 if len(found):
                     sig = signature(found, a, b)
-                    classes.append(hashlib.blake2b(found.tobytes(), digest_size=16).hexdigest())
+                    classes.append(digest(found))
                     sigs.append(sig.astype(np.uint8).tobytes())
                     keys.append(mixed_bands(sig, bands, rows))
                 else:
@@ -129,31 +135,31 @@ def mixed_bands(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def live_members(reps: DataFrame) -> DataFrame:
-    """key, doc_id, centre of each member of a bucket with several members.
+    """key, node, centre of each member of a bucket with several members.
 
     Buckets of one, nearly all, end here. The same plan is asked for at every size, so growth can be foreseen.
     """
-    members = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
-    # Whether the centre is the smallest id or the smallest hash follows from the key itself.
-    least, hashed = F.min("doc_id"), F.min(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id"))["doc_id"]
+    members = reps.select("node", F.posexplode("bands").alias("band", "key"))
+    # Whether the centre is the smallest node or the smallest hash follows from the key itself.
+    least, hashed = F.min("node"), F.min(F.struct(F.xxhash64("node").alias("h"), "node"))["node"]
     centres = members.groupBy("key").agg(least.alias("least"), hashed.alias("hashed"), F.count("*").alias("size")).filter("size > 1")
     centres = common.staged(centres.select(F.col("key").alias("_key"), F.when(F.col("key") % 2 == 0, F.col("least")).otherwise(F.col("hashed")).alias("centre")), "centres")
-    return common.staged(members.join(centres.hint("merge"), F.col("key") == F.col("_key")).select("key", "doc_id", "centre"), "members")
+    return common.staged(members.join(centres.hint("merge"), F.col("key") == F.col("_key")).select("key", "node", "centre"), "members")
 
 
 def star_pairs(members: DataFrame) -> DataFrame:
     """a < b for each member of a bucket and its centre."""
-    pairs = members.filter("doc_id != centre")
-    return pairs.select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
+    pairs = members.filter("node != centre")
+    return pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
 
 def confirmed(pairs: DataFrame, signatures: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are links: signatures first, then the full sets of those that may be.
 
-    signatures: doc_id, n_shingles, sig. sets: doc_id, shingles.
+    signatures: node, n_shingles, sig. sets: node, shingles.
     """
     least = percent / 100 - SLACK
-    of = lambda df, at, **names: df.select(F.col("doc_id").alias(at), *[F.col(c).alias(n) for c, n in names.items()])
+    of = lambda df, at, **names: df.select(F.col("node").alias(at), *[F.col(c).alias(n) for c, n in names.items()])
     both = pairs.join(of(signatures, "a", n_shingles="na", sig="sa").hint("merge"), "a").join(of(signatures, "b", n_shingles="nb", sig="sb").hint("merge"), "b")
     both = both.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
 
@@ -178,7 +184,7 @@ def confirmed(pairs: DataFrame, signatures: DataFrame, sets: DataFrame, percent:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """doc_id and component (the smallest reachable id) of every linked id: alternating large-star and small-star.
+    """node and component (the smallest reachable node) of every linked node: alternating large-star and small-star.
 
     A star step hands each neighbour to the smallest id around a node; neighbour lists are never collected, only
     their minimum is, and the rest is a join.
@@ -201,7 +207,7 @@ def components(links: DataFrame) -> DataFrame:
             break
         before = now
     # Stable edges are stars around the smallest id.
-    return edges.groupBy("hi").agg(F.min("lo").alias("component")).select(F.col("hi").alias("doc_id"), "component")
+    return edges.groupBy("hi").agg(F.min("lo").alias("component")).select(F.col("hi").alias("node"), "component")
 
 
 def shared(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
@@ -237,24 +243,24 @@ def across(members: DataFrame, of: DataFrame, signatures: DataFrame, sets: DataF
     against the others' signatures and, where these are near, against their full sets. Only links leave a meeting, at
     most one fewer than its members, so the work in a group of many unlinked near copies never becomes rows.
     """
-    placed = members.join(of.select(F.col("doc_id").alias("_d"), "component"), F.col("doc_id") == F.col("_d"), "left").select("key", "doc_id", "centre", F.coalesce("component", "doc_id").alias("component"))
+    placed = members.join(of.select(F.col("node").alias("_d"), "component"), F.col("node") == F.col("_d"), "left").select("key", "node", "centre", F.coalesce("component", "node").alias("component"))
     placed = common.staged(placed, "placed")
     open_ = placed.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 != c2").select(F.col("key").alias("_key"))
-    rows = common.staged(placed.join(open_, F.col("key") == F.col("_key")).select("doc_id", "centre", "component"), "open")
-    group = components(rows.select(F.col("doc_id").alias("a"), F.col("centre").alias("b")))
-    nodes = rows.select("doc_id", "component").distinct().join(group.withColumnRenamed("component", "group").withColumnRenamed("doc_id", "_g"), F.col("doc_id") == F.col("_g"), "left")
-    nodes = common.staged(nodes.select("doc_id", "component", F.coalesce("group", "doc_id").alias("group")), "nodes")
+    rows = common.staged(placed.join(open_, F.col("key") == F.col("_key")).select("node", "centre", "component"), "open")
+    group = components(rows.select(F.col("node").alias("a"), F.col("centre").alias("b")))
+    nodes = rows.select("node", "component").distinct().join(group.withColumnRenamed("component", "group").withColumnRenamed("node", "_g"), F.col("node") == F.col("_g"), "left")
+    nodes = common.staged(nodes.select("node", "component", F.coalesce("group", "node").alias("group")), "nodes")
     sizes = nodes.groupBy("group").agg(F.floor((F.count("*") - 1) / BLOCK).cast("int").alias("last")).withColumnRenamed("group", "_group")
-    nodes = nodes.join(sizes, F.col("group") == F.col("_group")).select("group", "last", "doc_id", "component")
-    nodes = nodes.join(signatures.select(F.col("doc_id").alias("_r"), "sig").hint("merge"), F.col("doc_id") == F.col("_r"))
-    nodes = nodes.join(sets.withColumnRenamed("doc_id", "_s").hint("merge"), F.col("doc_id") == F.col("_s"))
-    rows = nodes.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("last") + 1).cast("int"))
+    nodes = nodes.join(sizes, F.col("group") == F.col("_group")).select("group", "last", "node", "component")
+    nodes = nodes.join(signatures.select(F.col("node").alias("_r"), "sig").hint("merge"), F.col("node") == F.col("_r"))
+    nodes = nodes.join(sets.withColumnRenamed("node", "_s").hint("merge"), F.col("node") == F.col("_s"))
+    rows = nodes.withColumn("block", F.pmod(F.xxhash64("node"), F.col("last") + 1).cast("int"))
     # Each block goes to its meetings with all blocks, itself included: (block, other), the smaller number first.
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
-    rows = rows.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "component", "sig", "shingles")
+    rows = rows.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "sig", "shingles")
 
     def meet(key, group):
-        ids, parts, where = (np.array(group.column(k)) for k in ("doc_id", "component", "block"))
+        ids, parts, where = (np.array(group.column(k)) for k in ("node", "component", "block"))
         sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
         sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
         found = meeting(ids, parts, np.flatnonzero(where == key[1].as_py()), np.flatnonzero(where == key[2].as_py()), sig, sets, percent)
@@ -274,7 +280,7 @@ def bitmap(ids: DataFrame) -> np.ndarray:
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id and shingles (sorted 64-bit hashes) of the wanted representatives (doc_id, class).
+    """node and shingles (sorted 64-bit hashes) of the wanted representatives (doc_id, class).
 
     Texts aren't shuffled: a bitmap of the wanted ids lets tasks pass over nearly all others, and what its chance hits
     let through goes in the join. With very many ids the bitmap lets more through and the join does more.
@@ -294,39 +300,62 @@ def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(GREATEST)).alias("doc_id"), "text").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP)))
     found = texts.mapInArrow(run, "doc_id long, class string, shingles binary")
-    # A repeated doc_id may have several texts, and a text several rows: one of the right set is enough.
-    mine = found.join(wanted.select("doc_id", "class").hint("merge"), ["doc_id", "class"], "left_semi").dropDuplicates(["doc_id"])
-    return common.staged(mine.select("doc_id", "shingles"), "sets")
+    # A repeated doc_id may have several texts, and a text several rows: one of each set is enough.
+    mine = found.join(wanted.select("doc_id", "class").hint("merge"), ["doc_id", "class"], "left_semi").dropDuplicates(["class"])
+    return common.staged(mine.select(F.xxhash64("class").alias("node"), "shingles"), "sets")
 
 
-def groups(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept. percent: the least similarity of a link."""
+def classed(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id (GREATEST for null), n_shingles, class, component_id (likewise), kept of every row."""
     bands, per_band = bands_for(percent / 100)
     rows = common.staged(signed(docs, bands, per_band), "signed")
     classes = common.staged(rows.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("rep")), "classes")
     reps = rows.filter("n_shingles > 0").join(classes.withColumnRenamed("class", "_class"), (F.col("doc_id") == F.col("rep")) & (F.col("class") == F.col("_class"))).dropDuplicates(["class"])
-    reps = common.staged(reps.select("doc_id", "n_shingles", "class", "sig", "bands"), "representatives")
+    reps = common.staged(reps.select(F.xxhash64("class").alias("node"), "doc_id", "n_shingles", "class", "sig", "bands"), "representatives")
     members = live_members(reps)
     # From here on only documents that share a bucket with another are looked at.
-    live = members.select(F.col("doc_id").alias("_live")).distinct()
-    signatures = common.staged(reps.join(live.hint("merge"), F.col("doc_id") == F.col("_live")).select("doc_id", "n_shingles", "class", "sig"), "live")
+    live = members.select(F.col("node").alias("_live")).distinct()
+    signatures = common.staged(reps.join(live.hint("merge"), F.col("node") == F.col("_live")).select("node", "doc_id", "n_shingles", "class", "sig"), "live")
     sets = whole_sets(docs, signatures)
-    signatures = signatures.drop("class")
+    ids = signatures.select("node", "doc_id", "class")
+    signatures = signatures.drop("doc_id", "class")
     links = confirmed(star_pairs(members), signatures, sets, percent)
     links = links.unionByName(across(members, components(links), signatures, sets, percent))
+    # Links hold all nodes but each component's smallest by their component; that one stands for itself.
     of = components(links)
-    placed = classes.join(of.withColumnRenamed("doc_id", "_d"), F.col("rep") == F.col("_d"), "left")
-    placed = common.staged(placed.select(F.col("class").alias("_class"), F.coalesce("component", "rep").alias("component")), "placed")
-    out = rows.select("doc_id", "n_shingles", "class").join(placed, F.col("class") == F.col("_class"), "left")
-    null_id = lambda c: F.when(c != GREATEST, c)
+    of = common.staged(of.unionByName(of.select(F.col("component").alias("node"), "component").distinct()), "components")
+    linked = common.staged(of.join(ids.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).select("component", "doc_id", "class"), "linked")
+    first = linked.groupBy("component").agg(F.min(F.struct("doc_id", "class")).alias("first")).withColumnRenamed("component", "_c")
+    placed = linked.join(first, F.col("component") == F.col("_c"))
+    placed = common.staged(placed.select(F.col("class").alias("_class"), F.col("first.doc_id").alias("component"), F.col("first.class").alias("stays")), "placed")
+    reps = classes.withColumnRenamed("class", "_own").join(placed, F.col("_own") == F.col("_class"), "left").select("_own", F.coalesce("component", "rep").alias("component"), F.coalesce("stays", "_own").alias("stays"))
+    out = rows.select("doc_id", "n_shingles", "class").join(common.staged(reps, "places"), F.col("class") == F.col("_own"), "left")
     component = F.coalesce("component", "doc_id")
-    return out.select(null_id(F.col("doc_id")).alias("doc_id"), "n_shingles", null_id(component).alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    kept = (F.col("doc_id") == component) & F.coalesce(F.col("class") == F.col("stays"), F.lit(True))
+    return out.select("doc_id", "n_shingles", "class", component.alias("component_id"), kept.alias("kept"))
+
+
+def groups(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept. percent: the least similarity of a link."""
+    null_id = lambda c: F.when(F.col(c) != GREATEST, F.col(c)).alias(c)
+    return classed(docs, percent).select(null_id("doc_id"), "n_shingles", null_id("component_id"), "kept")
 
 
 def deduplicate(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The rows whose document stays, with all their columns: one document of each group."""
-    kept = groups(docs, percent).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept_id")), "left_semi")
+    found = common.staged(classed(docs, percent).select("doc_id", "class", "kept"), "found")
+    ids = common.staged(found.groupBy("doc_id").agg(F.bool_or("kept").alias("some"), F.bool_and("kept").alias("every")).filter("some"), "kept_ids")
+    number = F.coalesce(docs["doc_id"].cast("long"), F.lit(GREATEST))
+    whole = docs.join(ids.filter("every").select(F.col("doc_id").alias("_kept_id")), number == F.col("_kept_id"), "left_semi")
+    partly = ids.filter("not every").select(F.col("doc_id").alias("_partly"))
+    if partly.isEmpty():
+        return whole
+    # Of an id with rows that stay and rows that go, those stay whose set does.
+    own = F.udf(lambda text: digest(x) if len(x := shingles(text)) else None, "string")
+    some = docs.join(partly, number == F.col("_partly"), "left_semi").withColumn("_class", own("text")).withColumn("_number", number)
+    stay = found.filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("class").alias("_kept_class")).distinct()
+    some = some.join(stay, (F.col("_number") == F.col("_kept_id")) & F.col("_class").eqNullSafe(F.col("_kept_class")), "left_semi")
+    return whole.unionByName(some.drop("_class", "_number"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
