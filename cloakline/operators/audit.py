@@ -106,18 +106,21 @@ def verify_receipts(receipts: DataFrame, key_id: str | None = None) -> DataFrame
     return rows.withColumn("verdict", verdict.otherwise("ok"))
 
 
-def merkle_root(leaves: Column, levels: int = 24) -> Column:
-    """Hex root of an array of hex digests: SHA-256 of raw pairs, an odd last node goes up unchanged. Null if empty.
+def merkle_levels(leaves: Column) -> Column:
+    """The height of a tree over so many leaves: the binary digits of leaves - 1."""
+    return F.length(F.bin(leaves - 1))
 
-    levels bounds the height: 24 levels take sixteen million heads, far above one anchoring window.
-    """
+
+def merkle_root(leaves: Column) -> Column:
+    """Hex root of an array of hex digests: SHA-256 of raw pairs, an odd last node goes up unchanged. Null if empty."""
 
     def up(nodes: Column) -> Column:
         n = F.size(nodes)
         pairs = F.transform(F.sequence(F.lit(0), F.floor((n + 1) / 2).cast("int") - 1), lambda i: F.when(2 * i + 1 < n, F.sha2(F.concat(F.unhex(F.get(nodes, 2 * i)), F.unhex(F.get(nodes, 2 * i + 1))), 256)).otherwise(F.get(nodes, 2 * i)))
         return F.when(n > 1, pairs).otherwise(nodes)
 
-    folded = F.aggregate(F.sequence(F.lit(1), F.lit(levels)), leaves, lambda nodes, _: up(nodes))
+    levels = merkle_levels(F.greatest(F.size(leaves), F.lit(1)))
+    folded = F.aggregate(F.sequence(F.lit(1), levels), leaves, lambda nodes, _: up(nodes))
     return F.when(F.size(leaves) > 0, folded[0])
 
 
