@@ -9,24 +9,25 @@ then document ids, lengths and block places as 64-bit integers, then the words,
 ascending document order in a Parquet container that Spark's commit protocol writes, so a lost executor's
 half-written file is never read, whatever store the folder is in.
 
-Nulls count as empty texts (the end id alone). Repeated doc_ids stay, next to each other, ordered by text. A null
-doc_id comes first. Only doc_id and text are read, so other columns may have any name.
+Nulls count as empty texts (the end id alone). Repeated doc_ids stay, next to each other, ordered by a hash of the
+text. A null doc_id comes first. Only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import json
+import os
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cloakline.llm import common
+from cloakline.llm import common, pieces
 
 #: Ids in a word and bits of each, by selector.
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], dtype=np.int64)
@@ -36,8 +37,8 @@ MAGIC = 0x31423853
 BLOCK = 128
 #: Ids after which an image ends; one document is never cut.
 IMAGE_IDS = 1 << 17
-PIECES_CACHED, CACHED_CHARS = 600_000, 64
-MARKS = frozenset(".,;:!?")
+#: Texts that show whether the model alone gives a lower-case word's ids.
+PROBES = ("a", "abcxyz", "hello", "tokenization", "qzxjkvbwpf", "mmmmmmmmmmmmmmmmmmm", "theandofingtionment")
 FILE_SCHEMA = "shard int, image int, first long, n_ids long, payload binary"
 OUT_SCHEMA = "shard int, doc_id long, first long, n_tokens long, ids_crc32 long"
 
@@ -139,12 +140,11 @@ def read_image(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return body[cuts[0] : cuts[1]], body[cuts[1] : cuts[2]], body[cuts[2] : cuts[3]], body[cuts[3] : cuts[4]].view("<u8")
 
 
-class Encoder:
-    """The tokenizers library behind a cache of text pieces: a tokenizer that drops spaces works on each apart.
-
-    New words made of letters go through the library together, as one text, and their ids are cut at the tokens that
-    end a word. A final mark after letters is always a word of its own, so it is looked up apart. Such a tokenizer
-    lower-cases ASCII letters, which a check at the start confirms, so capitals share the entry of their small letters.
+class Encoder(pieces.WordIds):
+    """The tokenizers library for new words. Words of ASCII letters go to the library's model, which is all that such a
+    tokenizer does with them once they are lower-cased (a check at the start confirms both). New words of other letters
+    go through the library together, as one text, and their ids are cut at the tokens that end a word. All other pieces
+    go through it one by one.
     """
 
     def __init__(self, source: str):
@@ -155,17 +155,16 @@ class Encoder:
         self.tokenizer.no_padding()
         suffix = json.loads(source)["model"].get("end_of_word_suffix")
         self.ends = np.zeros(0, bool)
-        folds = self.tokenizer.encode("ABCXYZ", add_special_tokens=False).ids == self.tokenizer.encode("abcxyz", add_special_tokens=False).ids
-        if suffix and folds:
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        if suffix and all(ids(x.upper()) == ids(x) == [t.id for t in self.tokenizer.model.tokenize(x)] for x in PROBES):
             vocab = self.tokenizer.get_vocab(with_added_tokens=True)
             self.ends = np.zeros(max(vocab.values()) + 1, bool)
             self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        super().__init__(len(self.ends) > 0)
 
-    def _apart(self, pieces: list[str]) -> None:
-        for k in range(0, len(pieces), 4096):
-            some = pieces[k : k + 4096]
+    def _apart(self, words: list[str]) -> None:
+        for k in range(0, len(words), 4096):
+            some = words[k : k + 4096]
             found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
             self.young.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(some, found, strict=True))
 
@@ -180,61 +179,29 @@ class Encoder:
             data, bounds = ids.tobytes(), (cuts * 4).tolist()
             self.young.update((w, data[a:b]) for w, a, b in zip(some, [0, *bounds], bounds, strict=False))
 
-    def _learn(self, pieces: set[str]) -> None:
-        young, old = self.young, self.old
-        words, apart, marked, cased = set(), [], [], []
-        for p in pieces:
-            if p in old:
-                young[p] = old[p]
-                continue
-            if p.isalpha():
-                w = p
-            elif p[-1:] in MARKS and p[:-1].isalpha():
-                w = p[:-1]
-                marked.append((p, w))
-            else:
-                apart.append(p)
-                continue
-            low = w.lower() if w.isascii() else w
-            if low != w:
-                cased.append((w, low))
-            if low not in young:
-                words.add(low)
-        if not len(self.ends):
-            return self._apart([*apart, *words, *(w for w, _ in cased), *(p for p, _ in marked)])
-        self._together([w for w in words if len(w) <= CACHED_CHARS])
-        self._apart(apart + [w for w in words if len(w) > CACHED_CHARS] + sorted(MARKS - young.keys()))
-        young.update((w, young[low]) for w, low in cased)
-        young.update((p, young[w] + young[p[-1]]) for p, w in marked)
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text. The cache has no cycles, so it isn't searched for any meanwhile."""
-        gc.disable()
-        try:
-            return self._encode(texts)
-        finally:
-            gc.enable()
-
-    def _encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.young) > PIECES_CACHED:
-            self.old, self.young = self.young, {}
-        young, found, wanted = self.young, [], set()
-        for text in texts:
-            pieces = (text or "").replace("\n", " ").split(" ")
-            known = list(map(young.get, pieces))  # the one lookup of each piece; only new ones are looked up again
-            new = [i for i, x in enumerate(known) if x is None] if None in known else []
-            wanted.update([pieces[i] for i in new])
-            found.append((known, [(i, pieces[i]) for i in new]))
-        if wanted:
-            self._learn(wanted)
-        out = []
-        for known, new in found:
-            for i, piece in new:
-                known[i] = young[piece]
-            out.append(b"".join(known))
-        for piece in wanted:
-            if len(piece) > CACHED_CHARS:
-                young.pop(piece, None)
+    def _plain(self, words: list[str]) -> None:
+        tokenize, young = self.tokenizer.model.tokenize, self.young
+        for w in words:
+            young[w] = pieces.packed([t.id for t in tokenize(w)])
+
+    def learn(self, words: list[str]) -> None:
+        short = [w for w in words if w.isalpha() and len(w) <= pieces.CACHED_CHARS] if self.folds else []
+        self._plain([w for w in short if w.isascii()])
+        self._together([w for w in short if not w.isascii()])
+        self._apart([w for w in words if w not in self.young])
+
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string())
+        offsets, codes, every, starts, sizes = self.of_batch(texts)
+        out: list[bytes] = []
+        for a in range(0, len(texts), 128):
+            cuts = offsets[a : a + 129]
+            some = codes[cuts[0] : cuts[-1]]
+            ids = every[pieces.spread(some, starts, sizes)]
+            places = np.r_[0, np.cumsum(sizes[some])][cuts - cuts[0]].tolist()
+            out += [ids[x:y].tobytes() for x, y in pairwise(places)]
         return out
 
 
@@ -244,9 +211,8 @@ _encoders: dict[str, Encoder] = {}
 def encoder(source: str) -> Encoder:
     key = hashlib.sha256(source.encode()).hexdigest()
     if key not in _encoders:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+        _encoders.clear()
         _encoders[key] = Encoder(source)
     return _encoders[key]
 
@@ -273,21 +239,21 @@ def write(docs: DataFrame, tokenizer_file: str, end_id: int | None, path: str) -
 
         for batch in batches:
             shard = batch.column(0)[0].as_py() if batch.num_rows else shard
-            for k in range(0, batch.num_rows, 256):
-                some = batch.slice(k, 256)
-                for doc_id, data in zip(some.column(1).to_pylist(), own.encode(some.column(2).to_pylist()), strict=True):
-                    ids.append(doc_id)
-                    found.append(data + tail)
-                    size += len(found[-1]) // 4
-                    if size >= IMAGE_IDS:
-                        yield flush()
+            for doc_id, data in zip(batch.column(1).to_pylist(), own.encode(batch.column(2)), strict=True):
+                ids.append(doc_id)
+                found.append(data + tail)
+                size += len(found[-1]) // 4
+                if size >= IMAGE_IDS:
+                    yield flush()
         if ids:
             yield flush()
 
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     lowest = -(1 << 63)
-    ranged = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    ranged.select(F.spark_partition_id().alias("shard"), "doc_id", "text").mapInArrow(run, FILE_SCHEMA).write.option("compression", "none").parquet(path)
+    # A doc_id of very many rows goes to as many ranges as its texts' hashes need; equal rows may lie in any order.
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("doc_id"), "text").withColumn("h", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    ranged = rows.repartitionByRange(n, "doc_id", "h", "row").sortWithinPartitions("doc_id", "h", "row")
+    ranged.select(F.spark_partition_id().alias("shard"), "doc_id", "text").mapInArrow(common.tidy(run), FILE_SCHEMA).write.option("compression", "none").parquet(path)
 
 
 def read(spark: SparkSession, path: str, digest_only: bool = True) -> DataFrame:
@@ -316,7 +282,7 @@ def read(spark: SparkSession, path: str, digest_only: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["shard", "doc_id", "first", "n_tokens", "ids_crc32" if digest_only else "ids"])
 
     schema = OUT_SCHEMA if digest_only else OUT_SCHEMA.replace("ids_crc32 long", "ids array<long>")
-    rows = files.select("shard", "first", "payload").mapInArrow(run, schema).join(offsets, F.col("shard") == F.col("of"))
+    rows = files.select("shard", "first", "payload").mapInArrow(common.tidy(run), schema).join(offsets, F.col("shard") == F.col("of"))
     lowest = -(1 << 63)
     return rows.select(F.when(F.col("doc_id") != lowest, F.col("doc_id")).alias("doc_id"), (F.col("before") + F.col("first")).alias("start"), "n_tokens", "ids_crc32" if digest_only else "ids")
 
