@@ -1,4 +1,6 @@
+import gzip
 import hashlib
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -62,3 +64,55 @@ def test_repeated_rows_and_empty_table(spark):
     path = common.fresh_path(spark, "warc")
     warc.write(pages.limit(0), path)
     assert warc.read(spark, path).count() == 0
+
+
+def test_response_does_not_follow_the_layout(spark):
+    """Payloads of many rows, under repeated and null page_ids, however the rows lie: one response each."""
+    rows = [(i, f"u{i % 3}", "a" * 150) for i in range(30)] + [(None, "n", "b" * 200)] * 40 + [(7, "u", "c" * 300)] * 5 + [(None, "u", "c" * 300)] * 5 + [(3, "v", "d" * 120), (3, "w", "d" * 120)]
+    random.Random(1).shuffle(rows)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for layout in (pages, pages.repartition(8), pages.repartition(5, "url"), pages.coalesce(1)):
+        path = common.fresh_path(spark, "warc")
+        warc.write(layout, path, 100)
+        read = warc.read(spark, path).collect()
+        assert len(read) == len(rows)
+        for payload, first in (("a" * 150, 0), ("b" * 200, None), ("c" * 300, 7), ("d" * 120, 3)):
+            mine = [r for r in read if r.payload_digest == hashlib.sha256(payload.encode()).hexdigest()]
+            responses = [r for r in mine if r.record_type == "response"]
+            assert len(responses) == 1 and bytes(responses[0].payload).decode() == payload and responses[0].page_id == first
+            assert all(r.refers_to == first and r.payload_bytes == len(payload) for r in mine if r.record_type == "revisit")
+            assert sorted(str(r.page_id) for r in mine) == sorted(str(i) for i, _, h in rows if h == payload)
+
+
+def test_record_identifiers_differ(spark):
+    pages = spark.createDataFrame([(1, "u", "z" * 200)] * 4 + [(2, "u", "z" * 200), (3, "u", "short"), (3, "u", "short")], "page_id long, url string, html string")
+    path = common.fresh_path(spark, "warc")
+    warc.write(pages.repartition(3), path, 100)
+    ids = [r.record_id for r in warc.segments(spark, path).collect()]
+    assert len(ids) == len(set(ids))
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    record = lambda kind, headers, block: (f"WARC/1.0\r\nWARC-Type: {kind}\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers.items()) + f"Content-Length: {len(block)}\r\n\r\n").encode() + block + b"\r\n\r\n"
+    body = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n3\r\nabc\r\n0\r\n\r\n"
+    parts = [
+        record("warcinfo", {"WARC-Record-ID": "<a>"}, b"software: x\r\n"), record("response", {"WARC-Record-ID": "<b>", "WARC-Payload-Digest": "sha1:ABC"}, body),
+        record("revisit", {"WARC-Record-ID": "<c>"}, b""), record("continuation", {"WARC-Record-ID": "<e>", "WARC-Segment-Origin-ID": "<d>", "WARC-Segment-Number": 2, "WARC-Segment-Total-Length": len(body)}, body[9:]),
+        record("response", {"WARC-Record-ID": "<d>", "WARC-Segment-Number": 1}, body[:9]),
+    ]
+    (tmp_path / "x.warc.gz").write_bytes(b"".join(map(gzip.compress, parts)))
+    rows = warc.read(spark, f"file://{tmp_path}").collect()
+    assert sorted((r.record_type, None if r.payload is None else bytes(r.payload)) for r in rows if r.payload) == [("response", b"abc"), ("response", b"abc")]
+    assert [r.payload_bytes for r in rows if r.record_type == "revisit"] == [None]
+    (tmp_path / "x.warc.gz").write_bytes(gzip.compress(b"".join(parts))[:-12])
+    with pytest.raises(Exception, match="cut short|doesn't end"):
+        warc.read(spark, f"file://{tmp_path}").collect()
+
+
+def test_a_record_is_read_across_pieces():
+    record = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nab\r\nc\r\n\r\n"
+    for size in (1, 2, 3, 7, 1000):
+        data = record * 3
+        assert [x for _, x in warc.parse(data[i : i + size] for i in range(0, len(data), size))] == [b"ab\r\nc"] * 3
+    packed = gzip.compress(b"x" * 5_000_000) + gzip.compress(b"y")
+    assert b"".join(warc.inflate(packed)) == b"x" * 5_000_000 + b"y"
