@@ -9,7 +9,7 @@ from cloakline.functions import text as tx
 
 OPENAI, ANTHROPIC = "openai", "anthropic"
 #: Headers that aren't passed on, and those of answers that aren't passed back.
-DROPPED_REQUEST_HEADERS = ("host", "transfer-encoding", "connection", "content-length", "x-gateway-session", "authorization", "x-api-key")
+DROPPED_REQUEST_HEADERS = ("host", "transfer-encoding", "connection", "content-length", "x-cloakline-session", "authorization", "x-api-key")
 DROPPED_RESPONSE_HEADERS = ("transfer-encoding", "content-length", "connection")
 
 
@@ -74,14 +74,37 @@ def response_content(body: Column, format_: Column) -> Column:
     return F.when(format_ == OPENAI, F.get_json_object(body, "$.choices[0].message.content")).otherwise(F.get_json_object(body, "$.content[0].text"))
 
 
-def replace_json_string(body: Column, old: Column, new: Column) -> Column:
-    """The body with one known string value replaced; the body itself if it isn't found."""
-    return F.coalesce(F.when(old.isNull() | new.isNull(), body).otherwise(F.replace(body, quoted(old), quoted(new))), body)
+def _raw(text: Column, value: Column) -> Column:
+    """JSON of a field, from its text (unquoted if it is a string) and its value."""
+    return F.when(F.schema_of_variant(value) == "STRING", quoted(text)).otherwise(F.coalesce(text, F.lit("null")))
+
+
+def set_string(json: Column, path: tuple[str | int, ...], new: Column) -> Column:
+    """JSON text with the string at a path of keys and places replaced; all beside the path stays as it is written."""
+    if not path:
+        return quoted(new)
+    deeper = lambda text: set_string(text, path[1:], new)
+    if isinstance(path[0], int):
+        values = F.from_json(json, "array<variant>")
+        items = F.transform(F.from_json(json, "array<string>"), lambda x, i: F.when(i == path[0], deeper(x)).otherwise(_raw(x, F.get(values, i))))
+        return F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
+    values = F.map_values(F.from_json(json, "map<string,variant>"))
+    fields = F.map_entries(F.from_json(json, "map<string,string>"))
+    parts = F.transform(fields, lambda e, i: F.concat(quoted(e["key"]), F.lit(":"), F.when(e["key"] == path[0], deeper(e["value"])).otherwise(_raw(e["value"], F.get(values, i)))))
+    return F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}"))
+
+
+def with_string(json: Column, path: tuple[str | int, ...], new: Column) -> Column:
+    """set_string where a string lies at the path and new isn't null, else the text itself."""
+    place = "$" + "".join(f"[{k}]" if isinstance(k, int) else f".{k}" for k in path)
+    found = F.schema_of_variant(F.try_variant_get(F.try_parse_json(json), place, "variant")) == "STRING"
+    return F.coalesce(F.when(F.coalesce(found, F.lit(False)) & new.isNotNull(), set_string(json, path, new)), json)
 
 
 def rebuild_response(body: Column, format_: Column, new: Column) -> Column:
-    """The answer with its content replaced; unreadable bodies come back unchanged."""
-    return replace_json_string(body, response_content(body, format_), new)
+    """The answer with the string at its content's path replaced; bodies without one come back unchanged."""
+    openai, other = (with_string(body, path, new) for path in (("choices", 0, "message", "content"), ("content", 0, "text")))
+    return F.when(format_ == OPENAI, openai).otherwise(other)
 
 
 def delta(event: Column, format_: Column) -> Column:
@@ -89,7 +112,8 @@ def delta(event: Column, format_: Column) -> Column:
 
 
 def set_delta(event: Column, format_: Column, new: Column) -> Column:
-    return replace_json_string(event, delta(event, format_), new)
+    openai, other = (with_string(event, path, new) for path in (("choices", 0, "delta", "content"), ("delta", "text")))
+    return F.when(format_ == OPENAI, openai).otherwise(other)
 
 
 def build_delta(text: Column, format_: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +14,7 @@ V1, V2 = "audit-v1", "audit-v2-canonical-json"
 FIELDS = (
     ("timestamp", "string", None), ("session_id", "string", None), ("pii_spans_detected", "long", None), ("pii_types", "array<string>", None),
     ("placeholders_generated", "long", None), ("privacy_score", "long", None), ("hash", "string", None), ("prev_hash", "string", GENESIS),
-    ("hash_recipe", "string", V1), ("request_id", "string", ""), ("client_requested_model", "string", ""), ("gateway_selected_route", "string", ""),
+    ("hash_recipe", "string", V1), ("request_id", "string", ""), ("client_requested_model", "string", ""), ("selected_route", "string", ""),
     ("upstream_requested_model", "string", ""), ("upstream_reported_model", "string", ""), ("detector_fast_model", "string", ""), ("detector_deep_model", "string", ""),
     ("prompt_hmac", "string", ""), ("response_hmac", "string", ""), ("hmac_key_id", "string", ""), ("response_hash_status", "string", "pending"),
     ("signing_key_id", "string", ""), ("signature_alg", "string", ""), ("anchor_status", "string", "not_yet_anchored"), ("rekor_uuid", "string", ""),
@@ -31,41 +34,59 @@ def with_defaults(entries: DataFrame) -> DataFrame:
     return entries
 
 
-def canonical_json(field=F.col) -> Column:
-    """Compact JSON of all fields but hash, in alphabetical order."""
-    names = sorted(n for n, *_ in FIELDS if n != "hash")
-    return F.to_json(F.struct(*[field(n).alias(n) for n in names]), {"ignoreNullFields": "false"})
+def canonical_json(field=F.col, written: dict[str, str] | None = None) -> Column:
+    """Compact JSON of all fields but hash, in alphabetical order. written: names that another writer's files use."""
+    names = sorted(((written or {}).get(n, n), n) for n, *_ in FIELDS if n != "hash")
+    return F.to_json(F.struct(*[field(n).alias(name) for name, n in names]), {"ignoreNullFields": "false"})
 
 
-def hash_v1(field=F.col) -> Column:
-    """Legacy recipe; timestamps are hashed with +00:00 in place of Z."""
+def text_v1(field=F.col) -> Column:
+    """What the legacy recipe hashes before the previous hash; timestamps have +00:00 in place of Z."""
     stamp = F.regexp_replace(field("timestamp"), "Z$", "+00:00")
-    return F.sha2(F.concat(stamp, field("session_id"), field("pii_spans_detected").cast("string"), field("privacy_score").cast("string"), field("prev_hash")), 256)
+    return F.concat(stamp, field("session_id"), field("pii_spans_detected").cast("string"), field("privacy_score").cast("string"))
+
+
+def hash_v1(field=F.col) -> Column:
+    return F.sha2(F.concat(text_v1(field), field("prev_hash")), 256)
 
 
-def entry_hash(field=F.col) -> Column:
+def entry_hash(field=F.col, written: dict[str, str] | None = None) -> Column:
     recipe = field("hash_recipe")
-    return F.when(recipe == V1, hash_v1(field)).when(recipe == V2, F.sha2(canonical_json(field), 256)).otherwise(F.raise_error(F.concat(F.lit("unknown hash recipe "), recipe)).cast("string"))
+    return F.when(recipe == V1, hash_v1(field)).when(recipe == V2, F.sha2(canonical_json(field, written), 256)).otherwise(F.raise_error(F.concat(F.lit("unknown hash recipe "), recipe)).cast("string"))
 
 
 def build_chains(entries: DataFrame, chain: str = "chain_id", position: str = "pos") -> DataFrame:
     """entries with prev_hash and hash, each chain from the genesis hash.
 
-    A chain is sequential by definition: entry i needs hash i-1. Chains run in parallel, one fold each; a writer that
-    wants parallelism keeps a chain for each session or day.
+    A chain is sequential by definition: entry i needs hash i-1. Everything else of what is hashed is put together in
+    parallel, as text before and after the previous hash; then each chain passes by in order, and only its last hash
+    is held. Chains run in parallel; a writer that wants more keeps a chain for each session or day.
     """
     data = [n for n, *_ in FIELDS if n not in ("hash", "prev_hash")]
-    rows = with_defaults(entries).groupBy(chain).agg(F.array_sort(F.collect_list(F.struct(F.col(position).alias("_pos"), *data))).alias("_rows"))
-    start = F.struct(F.lit(GENESIS).alias("prev"), F.expr("cast(array() as array<struct<p:string,h:string>>)").alias("out"))
-
-    def step(acc, x):
-        field = lambda n: acc["prev"] if n == "prev_hash" else x[n]
-        h = entry_hash(field)
-        return F.transform(F.array(h), lambda v: F.struct(v.alias("prev"), F.concat(acc["out"], F.array(F.struct(acc["prev"].alias("p"), v.alias("h")))).alias("out")))[0]
-
-    folded = rows.withColumn("_links", F.aggregate("_rows", start, step, lambda acc: acc["out"]))
-    each = folded.select(chain, F.explode(F.arrays_zip("_rows", "_links")).alias("_x"))
-    return each.select(chain, F.col("_x._rows._pos").alias(position), *[F.col(f"_x._rows.{n}").alias(n) for n in data], F.col("_x._links.p").alias("prev_hash"), F.col("_x._links.h").alias("hash"))
+    recipe, mark = F.col("hash_recipe"), '"prev_hash":"'
+    # Quotes inside of values are escaped, so the mark stands in the JSON once.
+    json = canonical_json(lambda n: F.lit("") if n == "prev_hash" else F.col(n))
+    cut = F.instr(json, mark) + len(mark) - 1
+    before = F.when(recipe == V1, text_v1()).when(recipe == V2, F.substring(json, F.lit(1), cut)).otherwise(F.raise_error(F.concat(F.lit("unknown hash recipe "), recipe)).cast("string"))
+    after = F.when(recipe == V1, "").otherwise(F.substring(json, cut + 1, F.length(json)))
+    rows = with_defaults(entries).select(chain, position, *data, before.alias("_before"), after.alias("_after"))
+    kept = rows.drop("_before", "_after")
+    names = kept.columns
+
+    def run(batches):
+        now, last = None, GENESIS
+        for batch in batches:
+            previous, hashes = [], []
+            for name, x, y in zip(*(batch.column(c).to_pylist() for c in (chain, "_before", "_after")), strict=True):
+                if name != now:
+                    now, last = name, GENESIS
+                previous.append(last)
+                last = hashlib.sha256(f"{x}{last}{y}".encode()).hexdigest() if x is not None else None
+                hashes.append(last)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(previous, pa.string()), pa.array(hashes, pa.string())], names=[*names, "prev_hash", "hash"])
+
+    out = kept.withColumn("prev_hash", F.lit("")).withColumn("hash", F.lit("")).schema
+    return rows.repartition(chain).sortWithinPartitions(chain, position).mapInArrow(run, out)
 
 
 def verified_entries(entries: DataFrame, chain: str = "chain_id", order: tuple[str, ...] = ("pos",), unknown_recipe_fails: bool = True) -> DataFrame:
@@ -95,6 +116,14 @@ def receipt(entries: DataFrame, request_id: str, day: str) -> DataFrame:
     return entries.filter(F.col("day").between(F.date_sub(F.lit(day).cast("date"), 1), F.lit(day).cast("date")) & (F.col("request_id") == request_id)).limit(1)
 
 
+def receipts(entries: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The receipts of many requests at once. wanted: request_id, day; one entry of each, of the day or the day before."""
+    asked = wanted.select(F.col("request_id").alias("_request"), F.col("day").alias("_asked")).distinct()
+    near = F.col("day").between(F.date_sub("_asked", 1), F.col("_asked"))
+    found = entries.join(asked, (F.col("request_id") == F.col("_request")) & near)
+    return found.dropDuplicates(["_request", "_asked"]).drop("_request", "_asked")
+
+
 def verify_receipts(receipts: DataFrame, key_id: str | None = None) -> DataFrame:
     """Adds verdict: ok, hash_mismatch, unknown_recipe, or key_mismatch (the key's id, not the digests, is compared)."""
     rows = with_defaults(receipts)
@@ -124,6 +153,15 @@ def merkle_root(leaves: Column) -> Column:
     return F.when(F.size(leaves) > 0, folded[0])
 
 
+def merkle_root_of(leaves: list[str]) -> str:
+    """The same root for streams, whose state is Python's."""
+    nodes = leaves
+    while len(nodes) > 1:
+        pairs = [hashlib.sha256(bytes.fromhex(a + b)).hexdigest() for a, b in zip(nodes[::2], nodes[1::2], strict=False)]
+        nodes = pairs + nodes[len(pairs) * 2 :]
+    return nodes[0]
+
+
 def merkle_roots(heads: DataFrame, batch: str, order: str, head: str = "head") -> DataFrame:
     """batch, n_heads, first_head, last_head, merkle_root. Heads of a batch are ordered, so they come together once."""
     rows = heads.groupBy(batch).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(head).alias("h")))), lambda x: x["h"]).alias("_h"))

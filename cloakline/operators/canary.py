@@ -50,6 +50,11 @@ def health(mean: Column) -> Column:
     return F.when(mean >= HEALTHY, "healthy").when(mean < DEGRADED, "degraded").otherwise("unknown")
 
 
+def health_of(mean: float) -> str:
+    """The same for one number."""
+    return "healthy" if mean >= HEALTHY else "degraded" if mean < DEGRADED else "unknown"
+
+
 def rolling_health(scored: DataFrame, series: str, order: tuple[str, ...]) -> DataFrame:
     """Adds mean_score and health over the last WINDOW scores of each series (a model, say)."""
     by = Window.partitionBy(series).orderBy(*order).rowsBetween(1 - WINDOW, 0)

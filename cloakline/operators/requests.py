@@ -26,10 +26,18 @@ def request_scores(scanned: DataFrame) -> DataFrame:
 
     Sums are of decimals, so the result doesn't depend on the order in which tasks finish.
     """
+    return _scored(scanned.groupBy("request_id").agg(*_sums()))
+
+
+def _sums() -> list[Column]:
     lost = F.aggregate("spans", F.lit(0.0), lambda acc, s: acc + ty.weight(s["type"], s["implicit"]) * s["confidence"])
-    one = scanned.groupBy("request_id").agg(F.sum(F.size("spans")).alias("n_spans"), F.sum(lost.cast("decimal(20,8)")).alias("lost"))
+    return [F.sum(F.size("spans")).alias("n_spans"), F.sum(lost.cast("decimal(20,8)")).alias("lost")]
+
+
+def _scored(one: DataFrame) -> DataFrame:
     score = F.least(F.lit(100), F.floor(F.greatest(F.lit(0.0), 100.0 - F.col("lost").cast("double"))).cast("int"))
-    return one.select("request_id", "n_spans", score.alias("privacy_score"), ty.classify(score).alias("privacy_class"))
+    rest = [c for c in one.columns if c not in ("request_id", "n_spans", "lost")]
+    return one.select("request_id", "n_spans", score.alias("privacy_score"), ty.classify(score).alias("privacy_class"), *rest)
 
 
 def anonymize_requests(requests: DataFrame, routes: DataFrame | None = None, key: bytes | None = None, strict: bool = True) -> DataFrame:
@@ -37,8 +45,9 @@ def anonymize_requests(requests: DataFrame, routes: DataFrame | None = None, key
     checked = requests.withColumn("error_kind", chat.body_error(F.col("body"), strict))
     good = checked.filter("error_kind is null")
     scanned = scan_messages(good, key)
-    texts = scanned.groupBy("request_id").agg(F.map_from_entries(F.collect_list(F.struct("message_idx", "redacted"))).alias("texts"))
-    out = checked.join(request_scores(scanned), "request_id", "left").join(texts, "request_id", "left")
+    # A request's messages come together once, for its score and its texts.
+    texts = F.map_from_entries(F.collect_list(F.struct("message_idx", "redacted"))).alias("texts")
+    out = checked.join(_scored(scanned.groupBy("request_id").agg(*_sums(), texts)), "request_id", "left")
     none = F.col("error_kind").isNull()
     out = out.withColumn("privacy_score", F.when(none, F.coalesce("privacy_score", F.lit(100)))).withColumn("n_spans", F.when(none, F.coalesce("n_spans", F.lit(0).cast("long"))))
     out = out.withColumn("privacy_class", F.when(none, ty.classify(F.col("privacy_score"))))

@@ -15,7 +15,7 @@ def mapping_rows(redacted: DataFrame, created_at: Column, session: str = "sessio
     return rows.select(session, message, F.col("m.placeholder_text").alias("placeholder_text"), F.col("m.original_text").alias("original_text"), ty.prefix(F.col("m.type")).alias("pii_type"), created_at.alias("created_at"))
 
 
-def lookup(store: DataFrame, session_id: str, placeholder: str) -> DataFrame:
+def lookup(store: DataFrame, session_id: str, placeholder: str | Column) -> DataFrame:
     """The original of one placeholder, at most one row."""
     return store.filter((F.col("session_id") == session_id) & (F.col("placeholder_text") == placeholder)).select("original_text").limit(1)
 

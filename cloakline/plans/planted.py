@@ -19,7 +19,7 @@ SETS = {
           when 5 then 'call ' || {PHONE} || '.foo@x.com now, or ' || {PHONE}
           when 6 then 'code ```x = "user' || {KEY} || '@in.code"``` then user' || {KEY} || '@out.org and an open ``` fence'
           when 7 then repeat('long words go on and on ', 36) || c_name
-          else c_name || ' of ' || c_mktsegment || ' met Project Titan at Campus North; Project  Titan, not Campus Northern' end as text
+          else c_name || ' of ' || c_mktsegment || ' met Project Heron at Campus North; Project  Heron, not Campus Northern' end as text
         from customer""",
     ),
     "model_spans": (

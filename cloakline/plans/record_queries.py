@@ -111,6 +111,20 @@ def response_content(spark, d):
     return rows.select("id", "content", chat.response_content(new, F.col("format")).alias("rebuilt"))
 
 
+@query("response_rebuild", """SELECT id, format, CASE format WHEN 'openai' THEN '{"model":"to ' || c_name || '","choices":[{"index":0,"message":{"role":"assistant","content":"new \\"' || c_name || '\\""}}],"usage":{"n":1.5}}'
+  WHEN 'anthropic' THEN '{"id":"to ' || c_name || '","content":[{"type":"text","text":"new \\"' || c_name || '\\""},{"type":"text","text":"to ' || c_name || '"}]}' ELSE '{"content":[{"text":7}]}' END AS rebuilt
+  FROM (SELECT cast(c_custkey AS BIGINT) AS id, CASE c_custkey % 3 WHEN 0 THEN 'openai' WHEN 1 THEN 'anthropic' ELSE 'other' END AS format, c_name FROM customer)""")
+def response_rebuild(spark, d):
+    """Bodies that hold the content's text elsewhere too, and write it with an escape; and one without a text."""
+    third = F.col("c_custkey") % 3
+    openai = F.concat(F.lit('{"model":"to '), "c_name", F.lit('","choices":[{"index":0,"message":{"role":"assistant","content":"\\u0074o '), "c_name", F.lit('"}}],"usage":{"n":1.5}}'))
+    other = F.concat(F.lit('{"id":"to '), "c_name", F.lit('","content":[{"type":"text","text":"\\u0074o '), "c_name", F.lit('"},{"type":"text","text":"to '), "c_name", F.lit('"}]}'))
+    rows = spark.read.parquet(f"{d}/customer.parquet").withColumn("format", F.when(third == 0, "openai").when(third == 1, "anthropic").otherwise("other"))
+    rows = rows.withColumn("body", F.when(third == 0, openai).when(third == 1, other).otherwise('{"content":[{"text":7}]}'))
+    new = chat.rebuild_response(F.col("body"), F.col("format"), F.concat(F.lit('new "'), "c_name", F.lit('"')))
+    return rows.select(F.col("c_custkey").cast("long").alias("id"), "format", new.alias("rebuilt"))
+
+
 @query("sse_reassemble", "SELECT cast(c_custkey AS BIGINT) AS stream_id, cast(i AS BIGINT) AS idx, CASE i WHEN 0 THEN 'data: {\"é\":\"' || c_name || E'\"}\\n\\n' ELSE E'data: [DONE]\\n\\n' END AS event FROM customer, range(0, 2) r(i)")
 def sse_reassemble(spark, d):
     rows = spark.read.parquet(f"{d}/customer.parquet")
@@ -157,9 +171,9 @@ def restore_responses(spark, d):
     return out.select("id", chat.response_content(F.col("restored_body"), F.col("api_format")).alias("content"))
 
 
-AUDIT_JSON = """'{"anchor_status":"not_yet_anchored","client_requested_model":"","detector_deep_model":"","detector_fast_model":"","gateway_selected_route":"","hash_recipe":"' || hash_recipe
+AUDIT_JSON = """'{"anchor_status":"not_yet_anchored","client_requested_model":"","detector_deep_model":"","detector_fast_model":"","hash_recipe":"' || hash_recipe
   || '","hmac_key_id":"","integrated_time":0,"log_index":-1,"pii_spans_detected":' || pii_spans_detected || ',"pii_types":null,"placeholders_generated":null,"prev_hash":"' || {prev}
-  || '","privacy_score":' || privacy_score || ',"prompt_hmac":"","rekor_uuid":"","request_id":"' || request_id || '","response_hash_status":"pending","response_hmac":"","session_id":"' || session_id
+  || '","privacy_score":' || privacy_score || ',"prompt_hmac":"","rekor_uuid":"","request_id":"' || request_id || '","response_hash_status":"pending","response_hmac":"","selected_route":"","session_id":"' || session_id
   || '","signature_alg":"","signing_key_id":"","timestamp":"' || "timestamp" || '","upstream_reported_model":"","upstream_requested_model":""}'"""
 
 
@@ -217,8 +231,8 @@ def last_hash(spark, d):
 @query("receipt_lookup", "SELECT cast(o_orderkey AS BIGINT) AS pos, 'r' || o_orderkey AS request_id FROM orders WHERE o_orderkey = 100 AND cast(o_orderdate AS DATE) IS NOT NULL")
 def receipt_lookup(spark, d):
     rows = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").cast("long").alias("pos"), F.to_date("o_orderdate").alias("day"), F.concat(F.lit("r"), "o_orderkey").alias("request_id"))
-    found = rows.filter("pos = 100").first()
-    return audit.receipt(rows, "r100", str(found.day)).select("pos", "request_id") if found else rows.select("pos", "request_id").limit(0)
+    wanted = rows.filter("request_id = 'r100'").select("request_id", "day")
+    return audit.receipts(rows, wanted).select("pos", "request_id")
 
 
 @query("receipt_verify", f"WITH {s.planted_cte('audit')} SELECT pos, CASE WHEN pos % 5 = 0 THEN 'hash_mismatch' WHEN pos % 7 = 0 THEN 'key_mismatch' ELSE 'ok' END AS verdict FROM audit")
@@ -362,9 +376,9 @@ def log2_bucket(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", canary.log2_bucket(F.col("event_id") * F.col("event_id") * 1000003 - 5).alias("bucket"))
 
 
-@query("metrics_counters", "SELECT 'gateway_requests_total' AS metric, event_type AS label, count(*)::DOUBLE AS value, 'gateway_requests_total{status=\"' || event_type || '\"} ' || count(*) AS line FROM events GROUP BY event_type")
+@query("metrics_counters", "SELECT 'cloakline_requests_total' AS metric, event_type AS label, count(*)::DOUBLE AS value, 'cloakline_requests_total{status=\"' || event_type || '\"} ' || count(*) AS line FROM events GROUP BY event_type")
 def metrics_counters(spark, d):
-    one = metrics.counters(spark.read.parquet(f"{d}/events.parquet"), "gateway_requests_total", "event_type")
+    one = metrics.counters(spark.read.parquet(f"{d}/events.parquet"), "cloakline_requests_total", "event_type")
     return one.join(metrics.exposition(one, "status").select("line", F.regexp_extract("line", '"(.*)"', 1).alias("label")), "label").select("metric", "label", "value", "line")
 
 

@@ -12,7 +12,7 @@ from cloakline.plans import planted
 from cloakline.plans import sql as s
 
 RULES = [
-    Rule("projects", "ORGANIZATION", patterns=["Project\\s+Titan"], confidence=0.9),
+    Rule("projects", "ORGANIZATION", patterns=["Project\\s+Heron"], confidence=0.9),
     Rule("places", "LOCATION", keywords=["Campus North", "Project"], confidence=0.6),
 ]
 Q, SQL = {}, {}
@@ -64,7 +64,7 @@ def containment(spark, d):
 
 
 RULE_SQL = f"""
-  r AS (SELECT id, i, start, "end", text, 'ORGANIZATION' AS type, 0.9::DOUBLE AS confidence, 0 AS p FROM ({s.matches('planted', 'Project\\s+Titan')})
+  r AS (SELECT id, i, start, "end", text, 'ORGANIZATION' AS type, 0.9::DOUBLE AS confidence, 0 AS p FROM ({s.matches('planted', 'Project\\s+Heron')})
     UNION ALL SELECT id, i, start, "end", text, 'LOCATION', 0.6, 1 FROM ({s.matches('planted', 'Campus North')})
     UNION ALL SELECT id, i, start, "end", text, 'LOCATION', 0.6, 2 FROM ({s.matches('planted', 'Project')}))"""
 
@@ -214,7 +214,7 @@ def session_all(spark, d):
 def session_lookup(spark, d):
     store = sessions.mapping_rows(anonymized(spark, d), F.lit("2024-01-01").cast("timestamp"))
     token = F.concat(F.lit("[EMAIL_"), F.left(F.sha2(F.lit("s1:0:user1@mail1.example.com"), 256), F.lit(8)), F.lit("]"))
-    return store.filter((F.col("session_id") == "s1") & (F.col("placeholder_text") == token)).select("original_text").limit(1)
+    return sessions.lookup(store, "s1", token)
 
 
 @query("session_ttl", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 24 HOUR")

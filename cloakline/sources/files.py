@@ -40,7 +40,7 @@ def audit_log(spark: SparkSession, path: str) -> DataFrame:
     Lines carry their order in the chain of hashes; the place column follows it within a file.
     """
     rows = spark.read.schema(audit.DDL).option("pathGlobFilter", "*.jsonl").option("mode", "FAILFAST").json(path)
-    rows = rows.select("*", F.col("_metadata.file_name").alias("file"), (F.col("_metadata.file_block_start") * (1 << 20) + F.monotonically_increasing_id() % (1 << 20)).alias("place"))
+    rows = rows.select("*", F.col("_metadata.file_name").alias("file"), (F.col("_metadata.file_block_start").cast("decimal(20,0)") * F.lit(1 << 33) + F.monotonically_increasing_id() % (1 << 33)).alias("place"))
     return audit.with_defaults(rows)
 
 
@@ -102,15 +102,15 @@ def routes_from_text(spark: SparkSession, text: str | None) -> DataFrame:
 
 def baseline(spark: SparkSession, path: str) -> DataFrame:
     """model_label, prompt and fingerprint of a baseline file; fails if it can't be read."""
-    schema = f"model_label string, created_at string, gateway_version string, prompts map<string,{FINGERPRINT}>"
+    schema = f"model_label string, created_at string, engine_version string, prompts map<string,{FINGERPRINT}>"
     rows = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
     return rows.select("model_label", F.explode("prompts").alias("prompt", "f")).select("model_label", "prompt", "f.*")
 
 
 def write_baseline(fingerprints: DataFrame, path: str) -> None:
-    """One JSON object with prompts in order. fingerprints: model_label, created_at, gateway_version, prompt and features."""
+    """One JSON object with prompts in order. fingerprints: model_label, created_at, engine_version, prompt and features."""
     f = F.struct("output_hash", "length_bucket", "stop_reason", "latency_bucket")
-    rows = fingerprints.groupBy("model_label", "created_at", "gateway_version").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("prompt").alias("key"), f.alias("value"))))).alias("prompts"))
+    rows = fingerprints.groupBy("model_label", "created_at", "engine_version").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("prompt").alias("key"), f.alias("value"))))).alias("prompts"))
     rows.write.mode("overwrite").json(path)
 
 

@@ -1,11 +1,15 @@
 """Streams: event reassembly, restoration token by token, anchoring windows, expiry, health probes.
 
-Each streaming operator has a batch twin with the same rows, which is how it is tested.
+Each streaming operator has a batch twin with the same rows, which is how it is tested. Rows may come in any order, in
+a micro-batch and across micro-batches: what comes too early waits in the state until its turn.
 """
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
+from datetime import datetime, timedelta, timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -55,46 +59,70 @@ def split_point(text: str) -> int:
 
 
 def restore_text(text: str, originals: dict[str, str]) -> str:
-    import re
-
     return re.sub(TOKEN, lambda m: originals.get(m[0], m[0]), text)
 
 
-STATE = "tail string, originals map<string,string>, next long"
+STATE = "tail string, originals map<string,string>, next long, due long, waiting string, skipped string"
 OUT = "stream_id string, seq long, text string"
 
 
+def in_turn(due: int, waiting: dict[int, str], size=lambda x: 1) -> tuple[list[str], int]:
+    """Items of waiting whose turn it is, taken out of it, and the place that is due after them."""
+    out = []
+    while due in waiting:
+        item = waiting.pop(due)
+        out.append(item)
+        due += max(size(item), 1)
+    return out, due
+
+
 def restore_stream(tokens: DataFrame, hold_seconds: float = HOLD_SECONDS) -> DataFrame:
-    """Streaming restoration. tokens: stream_id string, seq long, token string, originals map<string,string>.
+    """Streaming restoration. tokens: stream_id string, seq long (0, 1, ...), token string, originals map<string,string>.
 
-    The state of a stream is the tail after its last open bracket and the map. The token [DONE] and a quiet spell of
-    hold_seconds give the tail out, so nothing is lost if a stream never ends properly. Tokens of a micro-batch are
-    taken in order of seq.
+    A token that comes before its turn waits for those before it; one that comes twice is taken once. The token [DONE]
+    gives out the tail after the last open bracket when its turn comes. After a quiet spell of hold_seconds all that
+    waits is given out, in order, over the gaps; a token of a gap that comes later still is given out as it comes, so
+    nothing is lost if a stream never ends properly.
     """
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tail, originals, number = state.get if state.exists else ("", {}, 0)
-        originals = dict(originals or {})
+        tail, originals, number, due, waiting, skipped = state.get if state.exists else ("", {}, 0, 0, "{}", "[]")
+        originals, waiting, skipped = dict(originals or {}), {int(k): v for k, v in json.loads(waiting).items()}, set(json.loads(skipped))
         out = []
-        if state.hasTimedOut:
-            if tail:
+
+        def take(token: str) -> None:
+            nonlocal tail
+            if token == "[DONE]":
                 out.append(restore_text(tail, originals))
-            state.remove()
+                tail = ""
+                return
+            tail += token
+            cut = split_point(tail)
+            out.append(restore_text(tail[:cut], originals))
+            tail = tail[cut:]
+
+        if state.hasTimedOut:
+            for seq in sorted(waiting):
+                skipped.update(range(due, seq))
+                take(waiting[seq])
+                due = seq + 1
+            out.append(restore_text(tail, originals))
+            tail, waiting = "", {}
         else:
             rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
-            for token, known in zip(rows["token"], rows["originals"], strict=True):
+            for seq, token, known in zip(rows["seq"].tolist(), rows["token"], rows["originals"], strict=True):
                 originals.update(known if isinstance(known, dict) else dict(known) if known is not None else {})
-                if token == "[DONE]":
-                    out.append(restore_text(tail, originals))
-                    tail = ""
-                    continue
-                tail += token
-                cut = split_point(tail)
-                out.append(restore_text(tail[:cut], originals))
-                tail = tail[cut:]
-            state.update((tail, originals, number + sum(1 for x in out if x)))
+                if seq >= due:
+                    waiting.setdefault(seq, token)
+                elif seq in skipped:
+                    skipped.remove(seq)
+                    take(token)
+            ready, due = in_turn(due, waiting)
+            for token in ready:
+                take(token)
             state.setTimeoutDuration(max(int(hold_seconds * 1000), 1))
         out = [x for x in out if x]
+        state.update((tail, originals, number + len(out), due, json.dumps(waiting), json.dumps(sorted(skipped))))
         if out:
             yield pd.DataFrame({"stream_id": [key[0]] * len(out), "seq": range(number, number + len(out)), "text": out})
 
@@ -102,18 +130,26 @@ def restore_stream(tokens: DataFrame, hold_seconds: float = HOLD_SECONDS) -> Dat
 
 
 def reassemble_stream(chunks: DataFrame) -> DataFrame:
-    """Streaming event reassembly. chunks: stream_id string, seq long, chunk binary. State: the unfinished bytes."""
+    """Streaming event reassembly. chunks: stream_id string, seq long, chunk binary.
+
+    seq is the place of the chunk's first byte in its stream. The state holds the unfinished bytes, and chunks that
+    came before their turn. A chunk that comes twice is taken once.
+    """
 
     def step(key, batches, state):
-        held, number = (bytes.fromhex(state.get[0]), state.get[1]) if state.exists else (b"", 0)
-        rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
-        held += b"".join(bytes(c) for c in rows["chunk"])
-        *events, held = held.split(b"\n\n")
-        state.update((held.hex(), number + len(events)))
+        held, number, due, waiting = state.get if state.exists else ("", 0, 0, "{}")
+        held, waiting = bytes.fromhex(held), {int(k): v for k, v in json.loads(waiting).items()}
+        rows = pd.concat(list(batches))
+        for seq, chunk in zip(rows["seq"].tolist(), rows["chunk"], strict=True):
+            if seq >= due and len(chunk):
+                waiting.setdefault(seq, bytes(chunk).hex())
+        ready, due = in_turn(due, waiting, lambda x: len(x) // 2)
+        *events, held = (held + b"".join(map(bytes.fromhex, ready))).split(b"\n\n")
+        state.update((held.hex(), number + len(events), due, json.dumps(waiting)))
         if events:
             yield pd.DataFrame({"stream_id": [key[0]] * len(events), "seq": range(number, number + len(events)), "text": [e.decode("utf-8", "replace") + "\n\n" for e in events]})
 
-    return chunks.groupBy("stream_id").applyInPandasWithState(step, OUT, "held string, next long", "append", GroupStateTimeout.NoTimeout)
+    return chunks.groupBy("stream_id").applyInPandasWithState(step, OUT, "held string, next long, due long, waiting string", "append", GroupStateTimeout.NoTimeout)
 
 
 def route_lines(events: DataFrame, event: str = "event") -> DataFrame:
@@ -123,11 +159,45 @@ def route_lines(events: DataFrame, event: str = "event") -> DataFrame:
     return lines.withColumn("kind", kind).withColumn("json", F.when(F.col("kind") == "delta", F.substring("line", 7, 1 << 30)))
 
 
+ANCHORED = "window_start timestamp, n_heads int, first_head string, last_head string, merkle_root string"
+
+
 def anchor_windows(heads: DataFrame, time: str = "ts", minutes: int = 15, late: str | None = None) -> DataFrame:
-    """window_start, n_heads, first_head, last_head, merkle_root of tumbling windows; a stream needs late, its watermark."""
-    rows = heads.withWatermark(time, late) if late else heads
-    one = rows.filter("head != ''").groupBy(F.window(time, f"{minutes} minutes").alias("w")).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col("pos").alias("p"), F.col("head").alias("h")))), lambda x: x["h"]).alias("_h"))
-    return one.select(F.col("w.start").alias("window_start"), F.size("_h").alias("n_heads"), F.col("_h")[0].alias("first_head"), F.element_at("_h", -1).alias("last_head"), audit.merkle_root(F.col("_h")).alias("merkle_root"))
+    """window_start, n_heads, first_head, last_head, merkle_root of tumbling windows; a stream needs late."""
+    rows = heads.filter("head != ''").select(F.col(time).alias("ts"), "pos", "head")
+    if late:
+        return _anchor_stream(rows, minutes, late)
+    placed = rows.select(F.window("ts", f"{minutes} minutes")["start"].alias("window_start"), F.struct("ts", "pos").alias("order"), "head")
+    return audit.merkle_roots(placed, "window_start", "order")
+
+
+def _anchor_stream(heads: DataFrame, minutes: int, late: str) -> DataFrame:
+    """A log's open windows are its state. A window is given out once a head is late (an interval) past its end; heads
+    that come even later give a further row of their window at once, so none is lost in whatever order they come."""
+    number, unit = late.split()
+    slack = timedelta(**{unit.rstrip("s") + "s": float(number)})
+    width, epoch = timedelta(minutes=minutes), datetime(1970, 1, 1)
+
+    def step(key, batches, state):
+        newest, held = state.get if state.exists else ("", "{}")
+        held, newest = json.loads(held), datetime.fromisoformat(newest) if newest else epoch
+        rows = pd.concat(list(batches))
+        for ts, pos, head in zip(rows["ts"], rows["pos"].tolist(), rows["head"], strict=True):
+            at = ts.to_pydatetime().replace(tzinfo=None)
+            newest = max(newest, at)
+            held.setdefault((at - (at - epoch) % width).isoformat(), []).append([at.isoformat(timespec="microseconds"), pos, head])
+        closed = sorted(w for w in held if datetime.fromisoformat(w) + width + slack <= newest)
+        out = []
+        for w in closed:
+            ordered = [h for _, _, h in sorted(held.pop(w))]
+            out.append((datetime.fromisoformat(w).replace(tzinfo=timezone.utc), len(ordered), ordered[0], ordered[-1], audit.merkle_root_of(ordered)))
+        state.update((newest.isoformat(), json.dumps(held)))
+        if out:
+            frame = pd.DataFrame(out, columns=["window_start", "n_heads", "first_head", "last_head", "merkle_root"])
+            yield frame.astype({"n_heads": "int32"})
+
+    one_log = heads.withColumn("log", F.lit(0))
+    return one_log.groupBy("log").applyInPandasWithState(step, ANCHORED, "newest string, held string", "append", GroupStateTimeout.NoTimeout)
 
 
 def expiring_mappings(mappings: DataFrame, ttl: str = "24 hours") -> DataFrame:
@@ -136,7 +206,26 @@ def expiring_mappings(mappings: DataFrame, ttl: str = "24 hours") -> DataFrame:
 
 
 def health_of_batch(scored: DataFrame, series: str, order: tuple[str, ...]) -> DataFrame:
-    """For foreachBatch: the health after each series' last score."""
+    """Batch twin: the health after each series' last score."""
     latest = canary.rolling_health(scored, series, order)
     rank = F.row_number().over(Window.partitionBy(series).orderBy(*[F.desc(c) for c in order]))
     return latest.withColumn("_n", rank).filter("_n = 1").drop("_n")
+
+
+def health_stream(scored: DataFrame) -> DataFrame:
+    """series, seq, mean_score, health after each micro-batch. scored: series string, seq long, composite double.
+
+    The state is a series' last canary.WINDOW scores by seq, so the window outlives micro-batches and older scores that
+    come late count if they still lie in it. A seq that comes again replaces its score.
+    """
+
+    def step(key, batches, state):
+        recent = {int(k): v for k, v in json.loads(state.get[0]).items()} if state.exists else {}
+        rows = pd.concat(list(batches))
+        recent.update(zip(rows["seq"].tolist(), rows["composite"].tolist(), strict=True))
+        recent = {k: recent[k] for k in sorted(recent)[-canary.WINDOW :]}
+        state.update((json.dumps(recent),))
+        mean = sum(recent.values()) / len(recent)
+        yield pd.DataFrame({"series": [key[0]], "seq": [max(recent)], "mean_score": [mean], "health": [canary.health_of(mean)]})
+
+    return scored.groupBy("series").applyInPandasWithState(step, "series string, seq long, mean_score double, health string", "recent string", "append", GroupStateTimeout.NoTimeout)

@@ -211,7 +211,7 @@ def test_files(spark, tmp_path):
 
 
 def test_baseline_round_trip(spark, tmp_path):
-    prints = spark.createDataFrame([("m", "t", "v", "p1", "h", 1, "end_turn", 8)], "model_label string, created_at string, gateway_version string, prompt string, output_hash string, length_bucket int, stop_reason string, latency_bucket int")
+    prints = spark.createDataFrame([("m", "t", "v", "p1", "h", 1, "end_turn", 8)], "model_label string, created_at string, engine_version string, prompt string, output_hash string, length_bucket int, stop_reason string, latency_bucket int")
     files.write_baseline(prints, str(tmp_path / "base"))
     assert files.baseline(spark, str(tmp_path / "base")).first().asDict() == {"model_label": "m", "prompt": "p1", "output_hash": "h", "length_bucket": 1, "stop_reason": "end_turn", "latency_bucket": 8}
 
