@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Bytes of one Arrow batch handed to Python; long texts then come in few rows at a time.
 ARROW_BYTES = 16 << 20
+#: Bits of a map of ids.
+BITMAP = 63 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -69,6 +72,24 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def bit_of(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(BITMAP))
+
+
+def bitmap(ids: DataFrame) -> np.ndarray:
+    """A bit for the hash of every doc_id: BITMAP bits whatever the number of ids, so it may go to every task."""
+    words = ids.select(bit_of("doc_id").alias("h")).selectExpr("h div 63 as w", "shiftleft(1L, cast(h % 63 as int)) as bit")
+    rows = words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most BITMAP / 63 rows
+    out = np.zeros(BITMAP // 63 + 1, np.int64)
+    out[rows["w"].to_numpy()] = rows["bits"].to_numpy()
+    return out
+
+
+def marked(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Whether each place's bit is set."""
+    return (bits[places // 63] >> (places % 63)) & 1 == 1
+
+
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """run for mapInArrow, after which the worker, which serves later stages too, gives back what it has freed."""
 

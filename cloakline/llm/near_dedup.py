@@ -8,8 +8,11 @@ Signatures are minima of many multiply-add hashes. Bands of them are bucket keys
 the similarity so that a pair at the threshold is missed with a probability below MISS. In each bucket every member
 is held against one centre: the smallest node in one half of the buckets, the smallest of a hash in the other, so
 that a member of a large group of near copies meets many different centres and no bucket makes all its pairs.
-Components of the links found so far then show which buckets still hold members of different components; only
-their members are held against each other, in blocks, within tasks that give out links and nothing else.
+Components of the links found so far then show which buckets still hold members of different components. Each such
+bucket is looked at by itself (buckets that share members are never joined, as chains of them would reach ever
+further): its members meet in blocks, first by signature, which leaves those that may be linked with a member of
+another component, then, only those, by full sets. Meetings give out members or links, never pairs, so work inside a
+bucket of many unlinked near copies doesn't become rows.
 
 Two documents are linked only if their full shingle sets say so. Components come from alternating large-star and
 small-star steps, each written to the shared folder, so executors may be lost at any time.
@@ -40,9 +43,7 @@ SLACK = 0.16
 SEED = 77
 GREATEST = (1 << 63) - 1
 #: Members that one block holds when members of different components meet.
-BLOCK = 1024
-#: Bits of the map of ids whose sets are wanted.
-BITMAP = 63 << 20
+BLOCK = 256
 
 
 def bands_for(threshold: float, hashes: int = HASHES, miss: float = MISS) -> tuple[int, int]:
@@ -123,7 +124,7 @@ def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(classes, pa.string()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "class", "sig", "bands"])
 
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(GREATEST)).alias("doc_id"), "text").mapInArrow(run, SIGNED)
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(GREATEST)).alias("doc_id"), "text").mapInArrow(common.tidy(run), SIGNED)
 
 
 def mixed_bands(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -218,13 +219,17 @@ def shared(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return np.add.reduceat((x[at] == every).astype(np.int64), starts)
 
 
+def may_link(x: int, others: np.ndarray, parts: np.ndarray, n: np.ndarray, sig: np.ndarray, percent: int) -> np.ndarray:
+    """Those of others in another part than x whose sizes and signatures don't rule a link out."""
+    others = others[(parts[others] != parts[x]) & (100 * np.minimum(n[others], n[x]) >= percent * np.maximum(n[others], n[x]))]
+    return others[agreement(sig[others], sig[x]) >= percent / 100 - SLACK] if len(others) else others
+
+
 def meeting(ids: np.ndarray, parts: np.ndarray, left: np.ndarray, right: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links that join different parts, each confirmed on full sets; none for what is joined already."""
     parts, out, n = parts.copy(), [], np.array([len(x) for x in sets])
     for x in left:
-        others = right[(parts[right] != parts[x]) & (100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x]))]
-        if len(others):
-            others = others[agreement(sig[others], sig[x]) >= percent / 100 - SLACK]
+        others = may_link(x, right, parts, n, sig, percent)
         if not len(others):
             continue
         common_sizes = shared(sets[x], [sets[y] for y in others])
@@ -235,48 +240,56 @@ def meeting(ids: np.ndarray, parts: np.ndarray, left: np.ndarray, right: np.ndar
     return out
 
 
-def across(members: DataFrame, of: DataFrame, signatures: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between members of a bucket that lie in different components.
+def meetings(rows: DataFrame) -> DataFrame:
+    """Rows of buckets (key, node, ...) as often as they meet: key, i, j (numbers of two blocks), block, and the rest.
 
-    Buckets that still hold several components are joined into groups where they share members. A group's members
-    come in blocks of bounded size, and every two blocks meet once, in a task of their own: there each member is held
-    against the others' signatures and, where these are near, against their full sets. Only links leave a meeting, at
-    most one fewer than its members, so the work in a group of many unlinked near copies never becomes rows.
+    A bucket's members are dealt to blocks of about BLOCK by a hash, and every two blocks meet once, in a group of
+    their own.
     """
-    placed = members.join(of.select(F.col("node").alias("_d"), "component"), F.col("node") == F.col("_d"), "left").select("key", "node", "centre", F.coalesce("component", "node").alias("component"))
-    placed = common.staged(placed, "placed")
-    open_ = placed.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 != c2").select(F.col("key").alias("_key"))
-    rows = common.staged(placed.join(open_, F.col("key") == F.col("_key")).select("node", "centre", "component"), "open")
-    group = components(rows.select(F.col("node").alias("a"), F.col("centre").alias("b")))
-    nodes = rows.select("node", "component").distinct().join(group.withColumnRenamed("component", "group").withColumnRenamed("node", "_g"), F.col("node") == F.col("_g"), "left")
-    nodes = common.staged(nodes.select("node", "component", F.coalesce("group", "node").alias("group")), "nodes")
-    sizes = nodes.groupBy("group").agg(F.floor((F.count("*") - 1) / BLOCK).cast("int").alias("last")).withColumnRenamed("group", "_group")
-    nodes = nodes.join(sizes, F.col("group") == F.col("_group")).select("group", "last", "node", "component")
-    nodes = nodes.join(signatures.select(F.col("node").alias("_r"), "sig").hint("merge"), F.col("node") == F.col("_r"))
-    nodes = nodes.join(sets.withColumnRenamed("node", "_s").hint("merge"), F.col("node") == F.col("_s"))
-    rows = nodes.withColumn("block", F.pmod(F.xxhash64("node"), F.col("last") + 1).cast("int"))
-    # Each block goes to its meetings with all blocks, itself included: (block, other), the smaller number first.
+    sizes = rows.groupBy("key").agg(F.floor((F.count("*") - 1) / BLOCK).cast("int").alias("last")).withColumnRenamed("key", "_key")
+    rows = rows.join(sizes, F.col("key") == F.col("_key")).drop("_key").withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("last") + 1).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
-    rows = rows.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "sig", "shingles")
-
-    def meet(key, group):
-        ids, parts, where = (np.array(group.column(k)) for k in ("node", "component", "block"))
-        sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
-        sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
-        found = meeting(ids, parts, np.flatnonzero(where == key[1].as_py()), np.flatnonzero(where == key[2].as_py()), sig, sets, percent)
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+    return rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "last")
 
-    return common.staged(rows.groupBy("group", "i", "j").applyInArrow(meet, "a long, b long"), "cross_links")
 
-
-def bitmap(ids: DataFrame) -> np.ndarray:
-    """A bit for the hash of every id: BITMAP bits whatever the number of ids, so it may go to every task."""
-    hashed = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP)).alias("h"))
-    words = hashed.selectExpr("h div 63 as w", "shiftleft(1L, cast(h % 63 as int)) as bit")
-    rows = words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most BITMAP / 63 rows
-    out = np.zeros(BITMAP // 63 + 1, np.int64)
-    out[rows["w"].to_numpy()] = rows["bits"].to_numpy()
-    return out
+def across(members: DataFrame, of: DataFrame, signatures: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between members of a bucket that lie in different components."""
+    placed = members.join(of.select(F.col("node").alias("_d"), "component"), F.col("node") == F.col("_d"), "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    placed = common.staged(placed, "placed")
+    open_ = placed.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 != c2").select(F.col("key").alias("_key"))
+    rows = common.staged(placed.join(open_, F.col("key") == F.col("_key")).select("key", "node", "component"), "open")
+
+    def arrays(group):
+        where, sig = np.array(group.column("block")), np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
+        return np.array(group.column("node")), np.array(group.column("component")), where, sig
+
+    def by_signature(key, group):
+        ids, parts, where, sig = arrays(group)
+        n, found = np.array(group.column("n_shingles")), np.zeros(len(ids), bool)
+        right = np.flatnonzero(where == key[2].as_py())
+        for x in np.flatnonzero(where == key[1].as_py()):
+            near = may_link(x, right, parts, n, sig, percent)
+            found[near] = True
+            found[x] |= len(near) > 0
+        return pa.table({"key": pa.array(np.full(int(found.sum()), key[0].as_py()), pa.int64()), "node": pa.array(ids[found], pa.int64()), "component": pa.array(parts[found], pa.int64())})
+
+    signed_rows = rows.join(signatures.select(F.col("node").alias("_r"), "n_shingles", "sig").hint("merge"), F.col("node") == F.col("_r"))
+    near = meetings(signed_rows.select("key", "node", "component", "n_shingles", "sig")).groupBy("key", "i", "j").applyInArrow(by_signature, "key long, node long, component long")
+    near = common.staged(near.distinct(), "near")
+    # Several bands often hold the very same members: one of those buckets is enough.
+    alike = near.groupBy("key").agg(F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("sum"), F.count("*").alias("n"))
+    once = alike.groupBy("sum", "n").agg(F.min("key").alias("_key")).select("_key")
+    near = common.staged(near.join(once, F.col("key") == F.col("_key")).select("key", "node", "component"), "near_once")
+    whole = near.join(signatures.select(F.col("node").alias("_r"), "sig").hint("merge"), F.col("node") == F.col("_r"))
+    whole = whole.join(sets.withColumnRenamed("node", "_s").hint("merge"), F.col("node") == F.col("_s")).select("key", "node", "component", "sig", "shingles")
+
+    def by_sets(key, group):
+        ids, parts, where, sig = arrays(group)
+        found = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+        links = meeting(ids, parts, np.flatnonzero(where == key[1].as_py()), np.flatnonzero(where == key[2].as_py()), sig, found, percent)
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return common.staged(meetings(whole).groupBy("key", "i", "j").applyInArrow(by_sets, "a long, b long"), "cross_links")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -286,20 +299,19 @@ def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     let through goes in the join. With very many ids the bitmap lets more through and the join does more.
     """
     spark = common.bounded_batches(docs.sparkSession)
-    bits = spark.sparkContext.broadcast(bitmap(wanted.select("doc_id")))
+    bits = spark.sparkContext.broadcast(common.bitmap(wanted.select("doc_id")))
 
     def run(batches):
         for batch in batches:
-            h = batch.column(2).to_numpy()
-            hit = np.flatnonzero((bits.value[h // 63] >> (h % 63)) & 1)
+            hit = np.flatnonzero(common.marked(bits.value, batch.column(2).to_numpy()))
             for k in range(0, len(hit), 64):
                 some = batch.take(pa.array(hit[k : k + 64]))
                 data = [shingles(t.as_py()).tobytes() for t in some.column(1)]
                 digests = [hashlib.blake2b(x, digest_size=16).hexdigest() for x in data]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(digests, pa.string()), pa.array(data, pa.binary())], names=["doc_id", "class", "shingles"])
 
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(GREATEST)).alias("doc_id"), "text").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP)))
-    found = texts.mapInArrow(run, "doc_id long, class string, shingles binary")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(GREATEST)).alias("doc_id"), "text").withColumn("h", common.bit_of("doc_id"))
+    found = texts.mapInArrow(common.tidy(run), "doc_id long, class string, shingles binary")
     # A repeated doc_id may have several texts, and a text several rows: one of each set is enough.
     mine = found.join(wanted.select("doc_id", "class").hint("merge"), ["doc_id", "class"], "left_semi").dropDuplicates(["class"])
     return common.staged(mine.select(F.xxhash64("class").alias("node"), "shingles"), "sets")

@@ -75,3 +75,18 @@ def test_ties_and_empty_table(spark):
     assert len(rows) == 4 and {r.component_id for r in rows} == {1}
     kept = nd.deduplicate(spark.createDataFrame([(5, "q w e r t y"), (4, "Q w e r t y"), (6, None)], schema)).collect()
     assert sorted(r.doc_id for r in kept) == [4, 6]
+
+
+def test_thousands_of_near_copies_that_are_not_linked(spark):
+    """One text with two or three changed words in each copy: buckets hold very many members, links are few."""
+    rng = random.Random(9)
+    base, rows = [f"w{i}" for i in range(120)], []
+    for i in range(1600):
+        text = list(base)
+        for _ in range(rng.choice([2, 3])):
+            text[rng.randrange(len(text))] = f"x{rng.randrange(10_000)}"
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in nd.groups(docs, 85).collect())
+    assert got == brute(rows, 85)
+    assert sum(r[3] for r in got) > 100
