@@ -3,54 +3,83 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from cloakline.llm import quality as q
+from cloakline.llm.bpe import word_bpe_file
+
+LIBRARY = Tokenizer.from_file(word_bpe_file())
+START = max(LIBRARY.get_vocab(with_added_tokens=True).values()) + 1
+
+
+def symbols(text):
+    words = (text or "").split()
+    words = [w for i, w in enumerate(words) if not i or words[i - 1] != w]
+    return [START, *LIBRARY.encode(" ".join(words), add_special_tokens=False).ids]
 
 
 def plain_model(texts):
-    """Interpolated modified Kneser-Ney by dictionaries."""
-    counts = {q.ORDER: Counter()}
-    for t in texts:
-        s = q.symbols(t)[0].tolist()
-        counts[q.ORDER].update(tuple(s[i : i + q.ORDER]) for i in range(len(s) - q.ORDER + 1))
-    for order in range(q.ORDER - 1, 0, -1):
-        counts[order] = Counter(g[1:] for g in counts[order + 1])
-
-    def p(gram):
-        if not gram:
-            return 1 / q.ALPHABET
-        c = counts[len(gram)]
-        cc = Counter(c.values())
-        n1, n2, n3, n4 = (cc[k] for k in (1, 2, 3, 4))
-        if n1 and n2:
-            y = n1 / (n1 + 2 * n2)
-            raw = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 2.5]
-            d = [min(max(x, 0.05), k - 0.05) for k, x in zip((1, 2, 3), raw, strict=True)]
-        else:
-            d = [0.5, 0.75, 0.9]
-        around = [n for g, n in c.items() if g[:-1] == gram[:-1]]
-        if not around:
-            return p(gram[1:])
-        off = lambda n: d[min(n, 3) - 1]
-        own = max(c[gram] - off(c[gram]), 0) if c[gram] else 0
-        return own / sum(around) + sum(map(off, around)) / sum(around) * p(gram[1:])
+    """Interpolated modified Kneser-Ney by dictionaries: p(previous, symbol, own count that is left out)."""
+    two = Counter(x for s in map(symbols, texts) for x in zip(s, s[1:], strict=False))
+    one = Counter(w for _, w in two)
+
+    def discounts(c):
+        n = Counter(c.values())
+        n1, n2, n3, n4 = (n[k] for k in (1, 2, 3, 4))
+        if not n1 or not n2:
+            return [0.5, 0.75, 0.9]
+        y = n1 / (n1 + 2 * n2)
+        return [min(max(x, 0.05), k - 0.05) for k, x in zip((1, 2, 3), [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 2.5], strict=True)]
+
+    d2, d1 = discounts(two), discounts(one)
+    off = lambda n, d: d[min(n, 3) - 1] if n else 0.0
+    total, rest = Counter(), Counter()
+    for (v, _), n in two.items():
+        total[v] += n
+        rest[v] += off(n, d2)
+    every = sum(one.values())
+    held = sum(off(n, d1) for n in one.values())
+
+    def p(v, w, less=0):
+        below = (max(one[w] - off(one[w], d1), 0) + held / (START + 1)) / every
+        if not total[v]:
+            return below
+        n = max(two[v, w] - less, 0)
+        return max(n - off(n, d2), 0) / total[v] + rest[v] / total[v] * below
 
     return p
 
 
-def test_model_against_plain_counts(spark):
-    texts = ["The cat sat. The cat ran!", "A dog, a cat; a cow", "the the the cow", "Éa 12 - x"]
-    table = q.train(spark.createDataFrame([(t,) for t in texts], "text string"))
-    assert table.shape == (q.ALPHABET**q.ORDER,)
-    assert np.allclose(np.exp(table.reshape(-1, q.ALPHABET).astype(np.float64)).sum(axis=1), 1, atol=1e-4)
-    p, rng = plain_model(texts), random.Random(3)
-    seen = [tuple(x) for t in texts for x in np.lib.stride_tricks.sliding_window_view(q.symbols(t)[0], q.ORDER).tolist()]
-    for gram in rng.sample(seen, 25) + [tuple(rng.randrange(q.ALPHABET) for _ in range(q.ORDER)) for _ in range(25)]:
-        code = 0
-        for s in gram:
-            code = code * q.ALPHABET + s
-        assert math.isclose(table[code], math.log(p(gram)), rel_tol=1e-4)
+@pytest.mark.parametrize("salt_docs", [q.SALT_DOCS, 2])
+def test_scores_against_plain_counts(spark, monkeypatch, salt_docs):
+    monkeypatch.setattr(q, "SALT_DOCS", salt_docs)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    monkeypatch.setattr(q.common, "bounded_batches", lambda s: s)
+    texts = ["The cat sat. The cat ran!", "A dog, a cat; a cow", "the the the cow", "\u00c9a 12 - x \u6f22\u5b57"] * 2 + ["The cow sat on the cat"]
+    others = [None, "", "zebra zebra zebra", "the cat the cat ran and \u6f22\u5b57 sat", "a " * 500]
+    counts, lower = q.train(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    p = plain_model(texts)
+    rows = [*enumerate(texts), *enumerate(others, 100)]
+    docs = spark.createDataFrame([(i, "xx", t) for i, t in rows], "doc_id long, lang string, text string").repartition(4)
+    source = spark.sparkContext.broadcast(q.source_of(None))
+    got = {r.doc_id: r for r in q.scores(docs, counts, lower, source).collect()}
+    assert len(got) == len(rows)
+    for i, t in rows:
+        s = symbols(t)
+        own = Counter(zip(s, s[1:], strict=False))
+        assert math.isclose(got[i].nll, -sum(n * math.log(p(v, w)) for (v, w), n in own.items()), rel_tol=1e-4, abs_tol=1e-4)
+        assert math.isclose(got[i].nll_held_out, -sum(n * math.log(p(v, w, n)) for (v, w), n in own.items()), rel_tol=1e-4, abs_tol=1e-4)
+        assert got[i].n_chars_scored == sum(len(w) + 1 for w in (t or "").split())
+    assert math.isclose(sum(p(START, w) for w in range(START + 1)), 1, rel_tol=1e-9)
+    assert math.isclose(np.exp(lower.log_lower).sum(), 1, rel_tol=1e-9)
+
+
+def test_blocks_round_trip():
+    grams, docs, times = np.array([3, 3, 9, 1 << 40]), np.array([0, 7, 2, 65_000]), np.array([1, 300, 2, 70_000])
+    keys, sizes, d, n = q.unpacked(q.packed(grams, docs, times))
+    assert keys.tolist() == [3, 9, 1 << 40] and sizes.tolist() == [2, 1, 1] and d.tolist() == docs.tolist() and n.tolist() == times.tolist()
 
 
 def corpus():
