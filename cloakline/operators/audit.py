@@ -62,7 +62,7 @@ def build_chains(entries: DataFrame, chain: str = "chain_id", position: str = "p
     parallel, as text before and after the previous hash; then each chain passes by in order, and only its last hash
     is held. Chains run in parallel; a writer that wants more keeps a chain for each session or day.
     """
-    data = [n for n, *_ in FIELDS if n not in ("hash", "prev_hash")]
+    data = [n for n, *_ in FIELDS if n not in ("hash", "prev_hash", chain, position)]
     recipe, mark = F.col("hash_recipe"), '"prev_hash":"'
     # Quotes inside of values are escaped, so the mark stands in the JSON once.
     json = canonical_json(lambda n: F.lit("") if n == "prev_hash" else F.col(n))

@@ -6,6 +6,7 @@ Every detector is an expression from text to an array of spans, so detection is
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -177,11 +178,99 @@ def escalated(df: DataFrame, rules: list[Rule] | None = None, text: str = "text"
     return fast_tier(df, rules, text, fast_reply).filter(escalates(F.col("fast_spans"), F.col(text)))
 
 
+class Detector(Protocol):
+    """What can be plugged in: a name, and spans as an expression of the text. Models plug in as reply columns instead."""
+
+    name: str
+
+    def detect(self, text: Column) -> Column: ...
+
+
+@dataclass
+class PatternDetector:
+    """The patterns."""
+
+    name: str = "patterns"
+
+    def detect(self, text: Column) -> Column:
+        return regex_detect(text)
+
+
+@dataclass
+class RuleDetector:
+    """User rules."""
+
+    rules: list[Rule]
+    name: str = "rules"
+
+    def detect(self, text: Column) -> Column:
+        return rule_spans(text, self.rules)
+
+
+def detect_with(df: DataFrame, detectors: list[Detector], text: str = "text") -> DataFrame:
+    """Adds spans, merged over all detectors, and the flags that a detector without tiers has: all false."""
+    parts = [d.detect(F.col(text)) for d in detectors]
+    no = {name: F.lit(False) for name in ("deep_scan_available", "deep_attempted", "deep_scan_used", "rules_attempted")}
+    return df.withColumn("spans", merge(F.concat(*parts)) if parts else empty()).withColumns(no)
+
+
+@dataclass
+class Tiers:
+    """Tiers built from options: a deep model only where the mode may ask it, rules only if their file can be read."""
+
+    mode: str
+    rules: list[Rule]
+    fast_reply: str | None
+    deep_reply: str | None
+
+    @classmethod
+    def build(cls, mode: str, read_rules=None, fast_reply: str | None = "fast_reply", deep_reply: str | None = "deep_reply") -> Tiers:
+        """read_rules: called for the rules; rules that can't be read count as none."""
+        if mode.lower() not in ("fast", "deep", "auto"):
+            raise ValueError(f"unknown scan mode {mode}")
+        try:
+            rules = read_rules() if read_rules else []
+        except Exception:  # noqa: BLE001  any defect of the rules means none
+            rules = []
+        return cls(mode.lower(), rules, fast_reply, None if mode.lower() == "fast" else deep_reply)
+
+    def detect(self, df: DataFrame, text: str = "text") -> DataFrame:
+        return tiers(df, self.mode, self.rules, text, self.fast_reply, self.deep_reply)
+
+
+#: What a model is told before a text, how long it may take, and how much it may answer.
+PROMPT = "Find personal data in the text. Answer with a JSON array of objects with type, start, end, text, confidence and implicit, and nothing else. Types: {types}."
+SECONDS, TOKENS = 8.0, 1024
+
+
+def asking(complete, prompt: str | None = None, seconds: float = SECONDS, tokens: int = TOKENS):
+    """A model for with_model out of complete(prompt, text, tokens) -> reply. A call that takes longer gives up on its
+    text: the reply is null, which reads as an empty one."""
+    told = prompt or PROMPT.format(types=", ".join(ty.TYPE_NAMES))
+
+    def model(texts: list[str]) -> list[str | None]:
+        from concurrent.futures import ThreadPoolExecutor
+        from concurrent.futures import TimeoutError as Late
+
+        pool, out = ThreadPoolExecutor(max(len(texts), 1)), []
+        calls = [pool.submit(complete, told, t, tokens) for t in texts]
+        for call in calls:
+            try:
+                out.append(call.result(timeout=seconds))
+            except Late:
+                call.cancel()
+                out.append(None)
+        pool.shutdown(wait=False, cancel_futures=True)
+        return out
+
+    return model
+
+
 def with_model(df: DataFrame, model, text: str = "text", reply: str = "reply", key: str = "id", only: Column | None = None, retries: int = 1) -> DataFrame:
     """Adds reply, the answer of model(texts) -> list of strings, asked in Arrow batches for the rows of only.
 
     A reply that can't be read is asked for again once; other failures aren't. The rows that aren't asked don't pass
-    through Python: the answers are joined back by key.
+    through Python: the answers are joined back by key. See asking() for a model's prompt, time and length.
     """
     asked = (df.filter(only) if only is not None else df).select(key, text)
     kind = asked.schema[key].dataType.simpleString()

@@ -53,6 +53,11 @@ def report(counts: DataFrame, by: tuple[str, ...] = ("split",)) -> DataFrame:
     return out.withColumn("f1", f1(F.col("precision"), F.col("recall")))
 
 
+def printed(reported: DataFrame) -> DataFrame:
+    """split and line: a report's rows as lines of fixed width."""
+    return reported.select("split", F.format_string("%-10s %6d %6d %6d %9.3f %9.3f %9.3f", "split", "tp", "fp", "fn", "precision", "recall", "f1").alias("line"))
+
+
 def targets(reported: DataFrame) -> DataFrame:
     """split, verdict: pass, miss or kill."""
     wanted = F.when(F.col("split") == "explicit", EXPLICIT_TARGET).when(F.col("split") == "implicit", IMPLICIT_TARGET)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: Upper bounds, in seconds, of the deep tier's latency buckets.
 DEEP_BUCKETS = (0.1, 0.5, 1.0, 2.0, 5.0, 10.0, 30.0, 60.0, 90.0, 120.0, 180.0, 300.0)
+#: The usual bounds.
 DEFAULT_BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
 
 
@@ -40,6 +41,12 @@ def silent_fallback(events: DataFrame, attempted: str, used: str, by: tuple[str,
     return out.withColumn("silent", F.col("attempted") - F.col("succeeded"))
 
 
+def health_summary(checks: DataFrame, passed: str = "passed") -> DataFrame:
+    """passed and total of all checks, and whether every one passed."""
+    one = checks.agg(F.count_if(F.col(passed)).alias("passed"), F.count("*").alias("total"))
+    return one.withColumn("healthy", F.col("passed") == F.col("total"))
+
+
 def exposition(values: DataFrame, label_name: str) -> DataFrame:
     """Text lines of counters: metric{label="value"} number."""
     number = F.when(F.col("value") == F.floor("value"), F.floor("value").cast("string")).otherwise(F.col("value").cast("string"))

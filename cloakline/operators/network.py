@@ -6,6 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Seconds before each further try to warm a model up.
+WARM_UP = (2, 4, 8, 16, 32)
+
+
+def warm_up_schedule(tries: DataFrame, attempt: str = "attempt") -> DataFrame:
+    """Adds wait_seconds before the next try, and gives_up after the last. attempt counts from 0."""
+    wait = F.get(F.array(*map(F.lit, WARM_UP)), F.col(attempt).cast("int"))
+    return tries.withColumn("wait_seconds", wait).withColumn("gives_up", F.col(attempt) >= len(WARM_UP))
+
+
 def stale(known: DataFrame, fresh: DataFrame) -> DataFrame:
     """Endpoints (host, ip, port) that a host had and no longer has; a host that resolves to nothing keeps its own."""
     answered = known.join(fresh.select("host").distinct(), "host", "left_semi")

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cloakline.plans import record_queries, text_queries
+from cloakline.plans import file_queries, record_queries, text_queries
 
-MODULES = (text_queries, record_queries)
+MODULES = (text_queries, record_queries, file_queries)
 
 
 def widened(df: DataFrame) -> DataFrame:

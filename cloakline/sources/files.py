@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +19,26 @@ LABELLED = f"prompt string, spans {ty.SPANS.simpleString()}"
 FINGERPRINT = "struct<output_hash:string,length_bucket:int,stop_reason:string,latency_bucket:int>"
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: in spark.checkpoint.dir, else in the warehouse. In local mode, where
+    all is one machine, a temporary one will do."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not shared and spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+        shared = "file://" + tempfile.mkdtemp(prefix="cloakline-")
+    shared = shared or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared.rstrip('/')}/cloakline/{uuid.uuid4().hex}/{name}"
+
+
+def write_labelled(rows: DataFrame, path: str) -> None:
+    """Labelled prompts (prompt, spans) as JSON lines."""
+    rows.select("prompt", F.transform("spans", lambda s: s.dropFields("confidence")).alias("spans")).write.json(path)
+
+
+def write_evaluation(rows: DataFrame, path: str) -> None:
+    """One JSON line per entry: idx, expected, detected, tp, fp, fn, latency."""
+    rows.select("idx", "expected", "detected", "tp", "fp", "fn", "latency").write.json(path)
+
+
 def labelled(spark: SparkSession, path: str) -> DataFrame:
     """Labelled prompts from JSON lines. A line that can't be read fails the job; implicit defaults to false."""
     rows = spark.read.schema(LABELLED).option("mode", "FAILFAST").json(path)
@@ -35,12 +57,12 @@ def locate_spans(text, wanted):
 
 
 def audit_log(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of a file or of a folder's *.jsonl files, with file and place as order, missing fields as defaults.
+    """Entries of a file or of a folder's *.jsonl and *.json files, with file and place as order, missing fields as defaults.
 
     Lines carry their order in the chain of hashes; the place column follows it within a file.
     """
-    rows = spark.read.schema(audit.DDL).option("pathGlobFilter", "*.jsonl").option("mode", "FAILFAST").json(path)
-    rows = rows.select("*", F.col("_metadata.file_name").alias("file"), (F.col("_metadata.file_block_start").cast("decimal(20,0)") * F.lit(1 << 33) + F.monotonically_increasing_id() % (1 << 33)).alias("place"))
+    rows = spark.read.schema(audit.DDL).option("pathGlobFilter", "*.{jsonl,json}").option("mode", "FAILFAST").json(path)
+    rows = rows.select("*", F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start").cast("decimal(20,0)") * F.lit(1 << 33) + F.monotonically_increasing_id() % (1 << 33)).alias("place"))
     return audit.with_defaults(rows)
 
 
@@ -50,6 +72,17 @@ def write_audit(entries: DataFrame, path: str, day: str = "day") -> None:
     entries.select(day, *fields).repartitionByRange(F.col(day), F.col("timestamp")).sortWithinPartitions(day, "timestamp").write.mode("append").partitionBy(day).json(path)
 
 
+def write_checkpoints(heads: DataFrame, path: str, batch: str = "batch", order: str = "pos") -> None:
+    """Append one row per batch of heads: its root, how many, the first and the last. Fits foreachBatch."""
+    audit.merkle_roots(heads, batch, order).write.mode("append").parquet(path)
+
+
+def append_stream(entries: DataFrame, path: str, checkpoint: str):
+    """A streaming query that appends audit entries, a bounded micro-batch at a time: the source's maxFilesPerTrigger or
+    maxOffsetsPerTrigger is the bound, and what doesn't fit waits at the source instead of being refused."""
+    return entries.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda rows, _: write_audit(rows, path)).start()
+
+
 def write_mappings(rows: DataFrame, path: str) -> None:
     """Append mapping rows, a folder for each day so that expiry drops whole folders."""
     rows.withColumn("day", F.to_date("created_at")).write.mode("append").partitionBy("day").parquet(path)
@@ -100,6 +133,17 @@ def routes_from_text(spark: SparkSession, text: str | None) -> DataFrame:
     return spark.createDataFrame(rows, ROUTE_SCHEMA)
 
 
+def endpoints_from_text(spark: SparkSession, text: str) -> DataFrame:
+    """host and port of an endpoints file; raises if an entry has no host or a port out of range."""
+    rows = []
+    for e in (_mapping(text) or {}).get("endpoints", []):
+        host, port = str(e.get("host") or ""), int(e.get("port", 443))
+        if not host or not 0 < port < 65_536:
+            raise ValueError(f"bad endpoint {e}")
+        rows.append((host, port))
+    return spark.createDataFrame(rows, "host string, port int")
+
+
 def baseline(spark: SparkSession, path: str) -> DataFrame:
     """model_label, prompt and fingerprint of a baseline file; fails if it can't be read."""
     schema = f"model_label string, created_at string, engine_version string, prompts map<string,{FINGERPRINT}>"

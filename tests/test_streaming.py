@@ -78,3 +78,64 @@ def test_windows_and_expiry_stream(spark, tmp_path):
     for n in range(3):
         write(maps, n, [{"created_at": "2024-01-01 00:00:00", "session_id": "s", "placeholder_text": "p"}])
     assert len(run(spark, maps, "created_at timestamp, session_id string, placeholder_text string", streams.expiring_mappings, tmp_path, "maps")) == 1
+
+
+def test_files_in_any_order(spark, tmp_path):
+    """Tokens and chunks whose files come shuffled, one of them twice; nothing is lost, and nothing taken twice."""
+    import random
+
+    source, chunks = tmp_path / "tokens", tmp_path / "chunks"
+    source.mkdir()
+    chunks.mkdir()
+    known = {"[PERSON_0000000a]": "Ann", "[ORG_0000000b]": "Bo"}
+    text = "to [PERSON_0000000a] of [ORG_0000000b], [x] and [PERSON_0000000a]; [open"
+    tokens = [text[i : i + 3] for i in range(0, len(text), 3)] + ["[DONE]"]
+    order = [*range(len(tokens)), 4]
+    random.Random(2).shuffle(order)
+    for n, seq in enumerate(order):
+        write(source, n, [{"stream_id": "s", "seq": seq, "token": tokens[seq], "originals": known}])
+    want = streams.restore_text(text, known)
+    joined = lambda rows: "".join(r.text for r in sorted(rows, key=lambda r: r.seq))
+    got = run_until(spark, source, "stream_id string, seq long, token string, originals map<string,string>", lambda s: streams.restore_stream(s, 3600), tmp_path, "any_order", lambda rows: joined(rows) == want)
+    assert joined(got) == want
+    data = "".join(f"data: {i} é\n\n" for i in range(12)).encode() + b"rest"
+    starts = list(range(0, len(data), 7))
+    random.Random(3).shuffle(starts)
+    for n, at in enumerate(starts):
+        write(chunks, n, [{"stream_id": "a", "seq": at, "hex": data[at : at + 7].hex()}])
+    got = run(spark, chunks, "stream_id string, seq long, hex string", lambda s: streams.reassemble_stream(s.select("stream_id", "seq", F.unhex("hex").alias("chunk"))), tmp_path, "any_chunks")
+    assert [r.text for r in sorted(got, key=lambda r: r.seq)] == [f"data: {i} é\n\n" for i in range(12)]
+
+
+def test_a_gap_is_given_up_after_the_quiet_spell(spark, tmp_path):
+    source = tmp_path / "gap"
+    source.mkdir()
+    for seq in (0, 1, 3, 4):
+        write(source, seq, [{"stream_id": "s", "seq": seq, "token": f"t{seq} ", "originals": {}}])
+    got = run_until(spark, source, "stream_id string, seq long, token string, originals map<string,string>", lambda s: streams.restore_stream(s, 1), tmp_path, "gap", lambda rows: sum(len(r.text) for r in rows) == 12)
+    assert "".join(r.text for r in sorted(got, key=lambda r: r.seq)) == "t0 t1 t3 t4 "
+
+
+def test_windows_and_health_outlive_micro_batches(spark, tmp_path):
+    import random
+
+    source, scores = tmp_path / "heads", tmp_path / "scores"
+    source.mkdir()
+    scores.mkdir()
+    rows = [{"ts": f"2024-01-01 {h:02d}:{m:02d}:00", "pos": h * 60 + m, "head": "%064x" % (h * 60 + m)} for h in range(3) for m in range(0, 60, 4)]
+    random.Random(4).shuffle(rows)
+    for n in range(0, len(rows), 5):
+        write(source, n, rows[n : n + 5])
+    schema = "ts timestamp, pos long, head string"
+    got = run(spark, source, schema, lambda s: streams.anchor_windows(s, late="3 hours"), tmp_path, "no_late")
+    assert got == []
+    got = run(spark, source, schema, lambda s: streams.anchor_windows(s, late="0 minutes"), tmp_path, "late")
+    heads = sum(r.n_heads for r in got)
+    whole = {r.window_start: r for r in streams.anchor_windows(spark.read.schema(schema).json(str(source))).collect()}
+    last = max(whole)
+    assert heads >= len(rows) - whole[last].n_heads  # late heads come in rows of their own; only open windows are held
+    for n in range(6):
+        write(scores, n, [{"series": "m", "seq": n * 3 + k, "composite": (n * 3 + k) / 18} for k in range(3)])
+    got = run(spark, scores, "series string, seq long, composite double", streams.health_stream, tmp_path, "health")
+    end = max(got, key=lambda r: r.seq)
+    assert end.seq == 17 and abs(end.mean_score - sum(k / 18 for k in range(10, 18)) / 8) < 1e-9 and end.health == "unknown"
