@@ -35,6 +35,8 @@ TEMPLATE = {
     },
     "final": ["user", "assistant"],
 }
+#: Turns of a part within which places are counted in one fold.
+PART = 256
 #: What stands for the backslash and for the characters that marks are made of.
 ESCAPES = (("\\", "\\b"), ("#", "\\h"), ("<", "\\l"), (":", "\\c"))
 
@@ -99,7 +101,13 @@ def format_chats(conversations: DataFrame, template: dict = TEMPLATE) -> DataFra
         piece = lambda a, b, loss: F.struct(a.alias("start"), b.alias("end"), loss.alias("loss"))
         return F.struct(after.alias("at"), F.concat(acc["out"], F.array(piece(acc["at"], begin, F.lit(False)), piece(begin, stop, t["loss"]), piece(stop, after, F.lit(False)))).alias("out"))
 
-    segments = F.aggregate("turns", zero, step, lambda acc: acc["out"])
+    # Places are counted within parts of PART turns, then the parts' lengths are added up: so a fold, which copies what
+    # it has so far at each step, stays short in a conversation of very many turns.
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("turns") - 1) / PART).cast("int")), lambda k: F.aggregate(F.slice("turns", k * PART + 1, F.lit(PART)), zero, step))
+    none = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("starts"))
+    starts = lambda p: F.aggregate(p, none, lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")), lambda acc: acc["starts"])
+    moved = lambda x, start: F.transform(x["out"], lambda s: F.struct((s["start"] + start).alias("start"), (s["end"] + start).alias("end"), s["loss"].alias("loss")))
+    segments = common.let(parts, lambda p: F.flatten(F.zip_with(p, starts(p), moved)))
     return rows.select("conv_id", text.alias("formatted"), segments.alias("segments"), F.col("first_invalid").isNull().alias("valid"), "first_invalid")
 
 

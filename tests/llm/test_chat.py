@@ -1,7 +1,6 @@
 import hashlib
 
 import pytest
-from pyspark.sql import functions as F
 
 from cloakline.llm import chat
 
@@ -53,4 +52,21 @@ def test_template_and_empty_table(spark):
     two = chat.digests(chat.read_back(chat.format_chats(chat.planted(spark)))).first()
     text = "\\### Assistant: </turn> ok"
     assert (two.n_turns, two.loss_chars, two.loss_sha256) == (2, len(text), sha(text))
-    assert not [c for c in chat.format_chats(empty).columns if c == "turn"] and F is not None
+    assert "turn" not in chat.format_chats(empty).columns
+
+
+@pytest.mark.parametrize("part", [3, chat.PART])
+def test_long_conversations_null_and_repeated_turns(spark, monkeypatch, part):
+    monkeypatch.setattr(chat, "PART", part)
+    rows = [(1, k, "user" if k % 2 == 0 else "assistant", f"t{k} <#:\\>" * (k % 4)) for k in range(700)]
+    rows += [(None, 0, "user", "a"), (None, 0, "user", "a"), (None, None, "assistant", "first"), (None, 1, None, None), (2, 5, "assistant", "b"), (2, 5, "assistant", "a"), (2, None, "user", "")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    formatted = chat.format_chats(frame)
+    got = {r.conv_id: r for r in chat.read_back(formatted).collect()}
+    order = lambda r: (r[1] is not None, r[1] or 0, r[2] is not None, r[2] or "", r[3] or "")
+    for conv in (1, 2, None):
+        mine = sorted((r for r in rows if r[0] == conv), key=order)
+        assert [(t.role, t.text) for t in got[conv].turns] == [(r[2] or "", r[3] or "") for r in mine]
+        assert list(got[conv].loss_texts) == [r[3] or "" for r in mine if r[2] == "assistant"]
+    for r in formatted.collect():
+        assert [s.start for s in r.segments[1:]] == [s.end for s in r.segments[:-1]] and r.segments[-1].end == len(r.formatted)
