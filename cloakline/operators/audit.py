@@ -162,10 +162,27 @@ def merkle_root_of(leaves: list[str]) -> str:
     return nodes[0]
 
 
+#: Leaves of a subtree.
+SUBTREE = 4096
+
+
 def merkle_roots(heads: DataFrame, batch: str, order: str, head: str = "head") -> DataFrame:
-    """batch, n_heads, first_head, last_head, merkle_root. Heads of a batch are ordered, so they come together once."""
-    rows = heads.groupBy(batch).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(head).alias("h")))), lambda x: x["h"]).alias("_h"))
-    return rows.select(batch, F.size("_h").alias("n_heads"), F.col("_h")[0].alias("first_head"), F.element_at("_h", -1).alias("last_head"), merkle_root(F.col("_h")).alias("merkle_root"))
+    """batch, n_heads, first_head, last_head, merkle_root.
+
+    A batch is numbered in order; subtrees of SUBTREE leaves, which begin at multiples of it, are folded apart, and then
+    only their roots come together.
+    """
+    number = F.row_number().over(Window.partitionBy(batch).orderBy(order)).cast("long") - 1
+    rows = heads.select(batch, number.alias("_p"), F.col(head).alias("_h"))
+    in_order = lambda x: F.transform(F.array_sort(x), lambda y: y["_h"])
+    parts = rows.groupBy(batch, F.floor(F.col("_p") / SUBTREE).alias("_s")).agg(
+        F.collect_list(F.struct("_p", "_h")).alias("_x"), F.count("*").alias("_n"), F.min_by("_h", "_p").alias("_first"), F.max_by("_h", "_p").alias("_last"),
+    )
+    parts = parts.select(batch, "_n", "_first", "_last", F.struct(F.col("_s").alias("_p"), merkle_root(in_order(F.col("_x"))).alias("_h")).alias("_node"))
+    whole = parts.groupBy(batch).agg(
+        F.sum("_n").cast("int").alias("n_heads"), F.min_by("_first", F.col("_node._p")).alias("first_head"), F.max_by("_last", F.col("_node._p")).alias("last_head"), F.collect_list("_node").alias("_x"),
+    )
+    return whole.select(batch, "n_heads", "first_head", "last_head", merkle_root(in_order(F.col("_x"))).alias("merkle_root"))
 
 
 def pending_heads(heads: DataFrame, chain: str, order: str, head: str = "head") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,21 +66,39 @@ def targets(reported: DataFrame) -> DataFrame:
     return reported.filter("split != 'overall'").select("split", "recall", F.when(F.col("recall") < KILL, "kill").when(F.col("recall") >= wanted, "pass").otherwise("miss").alias("verdict"))
 
 
+#: Cells in which the median is looked for first.
+CELLS = 4096
+
+
 def latency_summary(rows: DataFrame, latency: str = "latency", tokens: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """n, mean, least, most and the upper median (element n div 2 of the sorted values, from 0).
 
-    The median is found by ranks over distinct values with counts, so no group's values are collected into one row.
+    The median is found in two steps: counts by cells of equal width between least and most tell the cell that holds
+    it, then only that cell's distinct values are ranked. So no task orders a group's values, whatever their number.
     """
-    one = rows.filter(F.col(latency).isNotNull())
-    stats = one.groupBy(*by).agg(F.count("*").alias("n"), F.avg(latency).alias("mean"), F.min(latency).alias("least"), F.max(latency).alias("most"), *([F.avg(F.col(tokens) / F.col(latency)).alias("tokens_per_second")] if tokens else []))
-    counted = one.groupBy(*by, latency).agg(F.count("*").alias("_c"))
-    window = Window.partitionBy(*by).orderBy(latency) if by else Window.orderBy(latency)
-    placed = counted.withColumn("_upto", F.sum("_c").over(window))
-    if by:
-        joined = placed.join(stats.select(*by, F.col("n").alias("_n")), list(by))
-        return stats.join(joined.filter(F.col("_upto") > F.floor(F.col("_n") / 2)).groupBy(*by).agg(F.min(latency).alias("median")), list(by))
-    joined = placed.crossJoin(F.broadcast(stats.select(F.col("n").alias("_n"))))
-    return stats.crossJoin(F.broadcast(joined.filter(F.col("_upto") > F.floor(F.col("_n") / 2)).agg(F.min(latency).alias("median"))))
+    one, value = rows.filter(F.col(latency).isNotNull()), F.col(latency)
+    if not by:
+        one = one.withColumn("_all", F.lit(0))
+    keys = list(by) or ["_all"]
+    stats = one.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(latency).alias("mean"), F.min(latency).alias("least"), F.max(latency).alias("most"), *([F.avg(F.col(tokens) / value).alias("tokens_per_second")] if tokens else []))
+
+    def joined(left: DataFrame, right: DataFrame, *more: str) -> DataFrame:
+        """left with the columns of right beside the keys (and more), which may be null."""
+        named = right.withColumnsRenamed({k: "_k_" + k for k in (*keys, *more)})
+        on = [left[k].eqNullSafe(named["_k_" + k]) for k in (*keys, *more)]
+        return left.join(named, reduce(lambda x, y: x & y, on)).drop(*["_k_" + k for k in (*keys, *more)])
+
+    counted = one.groupBy(*keys, latency).agg(F.count("*").alias("_c"))
+    bounds = stats.select(*keys, F.col("n").alias("_n"), F.col("least").alias("_least"), F.col("most").alias("_most"))
+    share = F.try_divide(value.cast("double") - F.col("_least"), F.col("_most").cast("double") - F.col("_least"))
+    cells = joined(counted, bounds).withColumn("_cell", F.least(F.floor(F.coalesce(share, F.lit(0.0)) * CELLS), F.lit(CELLS - 1).cast("long")))
+    wanted = F.floor(F.col("_n") / 2)
+    upto = lambda order: F.sum("_c").over(Window.partitionBy(*keys).orderBy(order))
+    sums = cells.groupBy(*keys, "_n", "_cell").agg(F.sum("_c").alias("_c")).withColumn("_upto", upto("_cell")).filter(F.col("_upto") > wanted)
+    first = sums.groupBy(*keys).agg(F.min(F.struct("_cell", (F.col("_upto") - F.col("_c")).alias("before"))).alias("_f"))
+    inside = joined(cells, first.select(*keys, "_f._cell", F.col("_f.before").alias("_before")), "_cell")
+    ranked = inside.withColumn("_upto", F.col("_before") + upto(latency)).filter(F.col("_upto") > wanted)
+    return joined(stats, ranked.groupBy(*keys).agg(F.min(latency).alias("median"))).drop("_all")
 
 
 def dataset_totals(labels: DataFrame, spans: str = "spans") -> DataFrame:

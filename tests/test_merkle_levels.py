@@ -14,3 +14,12 @@ def test_levels_follow_from_the_leaves(spark):
 def test_empty_batch_has_no_root(spark):
     rows = spark.createDataFrame([([],), (None,)], "h array<string>").select(audit.merkle_root(F.col("h")).alias("root"))
     assert [r.root for r in rows.collect()] == [None, None]
+
+
+def test_subtrees_give_the_same_root(spark, monkeypatch):
+    monkeypatch.setattr(audit, "SUBTREE", 4)
+    heads = {b: [f"{b * 1000 + i:064x}" for i in range(n)] for b, n in enumerate((1, 3, 4, 5, 16, 17, 63))}
+    rows = spark.createDataFrame([(b, i, h) for b, x in heads.items() for i, h in enumerate(x)], "batch int, pos int, head string").repartition(5)
+    got = {r.batch: r for r in audit.merkle_roots(rows, "batch", "pos").collect()}
+    for b, x in heads.items():
+        assert (got[b].n_heads, got[b].first_head, got[b].last_head, got[b].merkle_root) == (len(x), x[0], x[-1], audit.merkle_root_of(x))
