@@ -1,6 +1,8 @@
 import hashlib
 import random
+import struct
 
+import xxhash
 from pyspark.sql import functions as F
 
 from cloakline.llm import fingerprint as fp
@@ -55,6 +57,43 @@ def test_bins_against_plain_python(spark):
     assert row == want
 
 
+def hash_of(*numbers):
+    """Spark's xxhash64 of 32-bit integers."""
+    seed = 42
+    for n in numbers:
+        seed = xxhash.xxh64_intdigest(struct.pack("<i", n), seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def brute_dense(filled):
+    out = []
+    for j in range(fp.BINS if filled else 0):
+        tried = [j, *(hash_of(j, t) % fp.BINS for t in range(fp.TRIES))]
+        source = next((k for k in tried if k in filled), None)
+        if source is None:
+            source = min(filled, key=lambda k: (hash_of(j, k), k))
+        out.append(filled[source] & ((1 << fp.BITS) - 1))
+    return out
+
+
+def test_densification_packing_and_likeness_against_plain_python(spark):
+    rng = random.Random(7)
+    maps = [{rng.randrange(fp.BINS): rng.getrandbits(63) for _ in range(n)} for n in (1, 2, 5, 40, 128, 400)] + [{}]
+    frame = spark.createDataFrame(list(enumerate(maps)), "k int, m map<int,bigint>")
+    dense = fp.dense_bins(F.col("m"))
+    got = {r.k: r for r in frame.select("k", dense.alias("bins"), fp.packed(dense).alias("print")).collect()}
+    for k, m in enumerate(maps):
+        assert list(got[k].bins) == brute_dense(m)
+        assert got[k].print == "".join(f"{v:02x}" for v in brute_dense(m))
+    prints = [got[k].print for k in range(len(maps))]
+    pairs = [(a, b) for a in prints for b in prints]
+    rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", fp.likeness(F.col("a"), F.col("b")).alias("x")).collect()
+    for a, b, x in rows:
+        share = sum(a[i : i + 2] == b[i : i + 2] for i in range(0, 256, 2)) / 128
+        want = max(0.0, (share - 1 / 256) / (1 - 1 / 256)) if a and b else float(a == b)
+        assert abs(x - want) < 1e-12
+
+
 def test_next_of_wide_and_negative_ids(spark):
     ids = [-(1 << 63), -5, -1, 0, 3, 1 << 40, (1 << 63) - 1]
     got = dict(map(tuple, fp.next_lower(spark.createDataFrame([(i,) for i in ids], "doc_id long")).collect()))
