@@ -141,7 +141,7 @@ def sse_lines(spark, d):
 
 @query("stream_restore", f"WITH {s.planted_cte('planted')} SELECT cast(id AS VARCHAR) AS stream_id, text AS restored FROM planted")
 def stream_restore(spark, d):
-    rows = anonymized(spark, d).withColumn("stream_id", F.col("id").cast("string"))
+    rows = files.kept(anonymized(spark, d).select("id", "session_id", "redacted", "mappings"), "anonymized").withColumn("stream_id", F.col("id").cast("string"))
     tokens = rows.select("stream_id", F.explode(F.sequence(F.lit(0), F.floor(F.length("redacted") / 5).cast("int"))).alias("seq"), "redacted")
     tokens = tokens.select("stream_id", "seq", F.substring("redacted", F.col("seq") * 5 + 1, F.lit(5)).alias("token")).filter("token != ''")
     tokens = tokens.unionByName(rows.select("stream_id", F.lit(1 << 30).alias("seq"), F.lit("[DONE]").alias("token")))
@@ -164,7 +164,7 @@ def anonymize_requests(spark, d):
 
 @query("restore_responses", f"{DONE} SELECT p.id, p.text AS content FROM planted p")
 def restore_responses(spark, d):
-    rows = anonymized(spark, d)
+    rows = files.kept(anonymized(spark, d).select("id", "session_id", "redacted", "mappings"), "anonymized")
     body = F.concat(F.lit('{"content":[{"text":'), chat.quoted(F.col("redacted")), F.lit("}]}"))
     originals = rows.select("session_id", F.map_from_entries(F.transform("mappings", lambda m: F.struct(m["placeholder_text"], m["original_text"]))).alias("originals"))
     out = requests.restore_responses(rows.select("id", "session_id", body.alias("body"), F.lit("anthropic").alias("api_format")), originals)

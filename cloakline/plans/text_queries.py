@@ -10,6 +10,7 @@ from cloakline.operators import detect, routing, sessions, spans
 from cloakline.operators.detect import Rule
 from cloakline.plans import planted
 from cloakline.plans import sql as s
+from cloakline.sources import files
 
 RULES = [
     Rule("projects", "ORGANIZATION", patterns=["Project\\s+Heron"], confidence=0.9),
@@ -198,7 +199,7 @@ def restore(spark, d):
   SELECT p.id, CASE WHEN d.id IS NOT NULL THEN p.text END AS restored, CASE WHEN d.id IS NOT NULL THEN (SELECT count(*) FROM m WHERE m.id = p.id) END AS placeholders_replaced, d.id IS NOT NULL AS found
   FROM planted p LEFT JOIN done d USING (id)""")
 def deanonymize(spark, d):
-    rows = anonymized(spark, d)
+    rows = files.kept(anonymized(spark, d).select("id", "session_id", "message_idx", "redacted", "mappings"), "anonymized")
     store = sessions.mapping_rows(rows, F.lit("2024-01-01").cast("timestamp"))
     out = sessions.deanonymize(rows.select("id", "session_id", F.col("redacted").alias("text")), store)
     return out.select("id", "restored", "placeholders_replaced", "found")

@@ -29,6 +29,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/cloakline/{uuid.uuid4().hex}/{name}"
 
 
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """rows written and read again: what is read several times is computed once."""
+    path = scratch(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def write_labelled(rows: DataFrame, path: str) -> None:
     """Labelled prompts (prompt, spans) as JSON lines."""
     rows.select("prompt", F.transform("spans", lambda s: s.dropFields("confidence")).alias("spans")).write.json(path)
