@@ -24,24 +24,49 @@ BITMAP = 63 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset a local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset the warehouse.
+
+    Only in local mode, where driver and executors are one machine, a temporary folder stands in.
+    """
     context = spark.sparkContext
     configured = context.getConf().get("spark.checkpoint.dir", "")
-    if not configured:
-        configured = context.getCheckpointDir() if hasattr(context, "getCheckpointDir") else ""
-    if not configured:
-        configured = "file://" + tempfile.mkdtemp(prefix="cloakline-")
-        context.setCheckpointDir(configured)
-    return configured.rstrip("/")
+    if not configured and context.master.startswith("local") and not context.master.startswith("local-cluster"):
+        if not _local:
+            _local.append("file://" + tempfile.mkdtemp(prefix="cloakline-"))
+        configured = _local[0]
+    return (configured or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
+#: The local mode's folder, and every folder that was written, in order.
+_local: list[str] = []
+_written: list[str] = []
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/cloakline/{uuid.uuid4().hex}/{name}"
+    path = f"{shared_dir(spark)}/cloakline/{uuid.uuid4().hex}/{name}"
+    _written.append(path)
+    return path
+
+
+def written() -> int:
+    """How many folders were written so far: a mark for sweep()."""
+    return len(_written)
+
+
+def sweep(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Delete the folders written since a mark, once what was computed from them is itself written or no longer needed."""
+    for path in [p for p in _written[since:] if p not in keep]:
+        remove(spark, path.rpartition("/")[0])
+        _written.remove(path)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: cuts lineage, survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
+    return put(df, fresh_path(df.sparkSession, name))
+
+
+def put(df: DataFrame, path: str) -> DataFrame:
+    """The same at a path of its own."""
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -63,6 +88,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def prefix(df: DataFrame) -> str:
+    """What no column of df begins with, for columns that are added for a while."""
+    out = "_"
+    while any(c.lower().startswith(out) for c in df.columns):
+        out += "_"
+    return out
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

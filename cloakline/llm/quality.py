@@ -42,11 +42,12 @@ from cloakline.llm.bpe import word_bpe_file
 PRIOR = 60
 #: Trusted quantile (1 less it, below) and the margins below and above, in nats a character.
 QUANTILE, MARGINS = 0.995, (0.3, 0.5)
-#: Shards of the table of counts, and documents for which it is laid out once.
-SHARDS, SALT_DOCS = 32, 1 << 23
+#: Shards of the table of counts. It is laid out once for SALT_DOCS documents, or once for a document in SALT_GRAMS of
+#: its pairs if those are more: so copies of the table stay a small part of what documents send there.
+SHARDS, SALT_DOCS, SALT_GRAMS = 32, 1 << 17, 16
 #: Different pairs that a task counts before it hands them on.
 HELD = 2_000_000
-SCORED = "doc_id long, lang string, n_chars_scored long, nll double, nll_held_out double"
+SCORED = "doc_id long, lang string, digest long, n_chars_scored long, nll double, nll_held_out double"
 
 
 def distinct_words(text: str | None) -> tuple[str, int]:
@@ -172,7 +173,7 @@ def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return keys, np.frombuffer(data, "<u2", n, at), np.frombuffer(data, "<u2", m, at + 2 * n), np.frombuffer(data, "<u4", m, at + 2 * (n + m))
 
 
-DOCS = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("n", pa.int64()), ("base", pa.float64())])
+DOCS = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("digest", pa.int64()), ("n", pa.int64()), ("base", pa.float64())])
 #: Rows that meet in a shard: counts (gram, n), pairs of a block, and a block's documents, which only pass through.
 MEETING = "shard int, salt int, kind int, gram long, n long, block long, payload binary"
 COUNTS, PAIRS, DOCUMENTS = 0, 1, 2
@@ -192,7 +193,7 @@ def blocks(docs: DataFrame, source, lower, salts: int) -> DataFrame:
             model, doc = lower.value, np.repeat(np.arange(len(each)), [len(g) for g, _ in each])
             grams, times = np.concatenate([g for g, _ in each]), np.concatenate([n for _, n in each])
             base = -np.bincount(doc, weights=times * model.base(grams), minlength=len(each))
-            info = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(chars), pa.array(base)], schema=DOCS).serialize().to_pybytes()
+            info = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(chars), pa.array(base)], schema=DOCS).serialize().to_pybytes()
             shard = shard_of(grams)
             order = np.lexsort((doc, grams, shard))
             bounds = np.searchsorted(shard[order], np.arange(SHARDS + 1))
@@ -209,7 +210,7 @@ def blocks(docs: DataFrame, source, lower, salts: int) -> DataFrame:
             )
             number += 1
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInArrow(common.tidy(run), MEETING)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text", F.xxhash64("text").alias("digest")).mapInArrow(common.tidy(run), MEETING)
 
 
 def gains(meeting: DataFrame, lower) -> DataFrame:
@@ -254,7 +255,7 @@ def gains(meeting: DataFrame, lower) -> DataFrame:
 def scores(docs: DataFrame, counts: DataFrame, lower: Lower, source) -> DataFrame:
     """SCORED rows: negative log probabilities of every row, as counted and held out. counts: gram, n."""
     spark = common.bounded_batches(docs.sparkSession)
-    shared, salts = spark.sparkContext.broadcast(lower), docs.count() // SALT_DOCS + 1
+    shared, salts = spark.sparkContext.broadcast(lower), docs.count() // max(SALT_DOCS, counts.count() // SALT_GRAMS) + 1
 
     def shards(batches):
         for batch in batches:
@@ -271,8 +272,8 @@ def scores(docs: DataFrame, counts: DataFrame, lower: Lower, source) -> DataFram
         for _, payload in sorted((s, p) for s, p in zip(group.column("shard").to_pylist(), group.column("payload").to_pylist(), strict=True) if s >= 0):
             part = np.frombuffer(payload, "<f4").reshape(2, -1)
             total[:, : part.shape[1]] += part
-        nll = np.maximum(info.column(3).to_numpy() - total, 0.0)
-        return pa.table([*info.columns[:3], pa.array(nll[0]), pa.array(nll[1])], names=[x.split(" ")[0] for x in SCORED.split(", ")])
+        nll = np.maximum(info.column(4).to_numpy() - total, 0.0)
+        return pa.table([*info.columns[:4], pa.array(nll[0]), pa.array(nll[1])], names=[x.split(" ")[0] for x in SCORED.split(", ")])
 
     return gains(meeting, shared).groupBy("block").applyInArrow(complete, SCORED)
 
@@ -302,8 +303,7 @@ def train(texts: DataFrame, tokenizer_file: str | None = None) -> tuple[DataFram
     return counts, lower_order(counts, Symbols(source).size)
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margins: tuple[float, float] = MARGINS, tokenizer_file: str | None = None) -> DataFrame:
-    """doc_id, lang, n_chars_scored, perplexity, lower, upper, rejected of every row."""
+def _classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margins: tuple[float, float] = MARGINS, tokenizer_file: str | None = None) -> DataFrame:
     spark = common.bounded_batches(docs.sparkSession)
     good = common.staged(trusted_ids(labels), "trusted")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
@@ -311,7 +311,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, mar
     source = spark.sparkContext.broadcast(source_of(tokenizer_file))
     both = scores(rows, counts, lower, source).join(good.hint("merge"), F.col("doc_id") == F.col("_trusted"), "left")
     trusted = F.col("_trusted").isNotNull()
-    scored = common.staged(both.select("doc_id", "lang", "n_chars_scored", F.when(trusted, F.col("nll_held_out")).otherwise(F.col("nll")).alias("nll"), trusted.alias("trusted")), "scores")
+    scored = common.staged(both.select("doc_id", "lang", "digest", "n_chars_scored", F.when(trusted, F.col("nll_held_out")).otherwise(F.col("nll")).alias("nll"), trusted.alias("trusted")), "scores")
     mine = scored.filter("trusted and n_chars_scored > 0")
     usual = common.staged(mine.groupBy("lang").agg(F.sum("nll").alias("a"), F.sum("n_chars_scored").alias("b")), "usual")
     total = usual.agg(F.sum("a"), F.sum("b")).first()
@@ -327,13 +327,19 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, mar
     out = smoothed.join(by.withColumnRenamed("lang", "_l"), F.col("lang").eqNullSafe(F.col("_l")), "left")
     low, high = (F.coalesce(F.col("ends")[k], F.lit(float(overall[k]))) + beyond for k, beyond in ((0, -margins[0]), (1, margins[1])))
     outside = (F.col("rate") > high) | (F.col("rate") < low)
-    return out.select("doc_id", "lang", "n_chars_scored", F.exp("rate").alias("perplexity"), F.exp(low).alias("lower"), F.exp(high).alias("upper"), ((F.col("n_chars_scored") > 0) & outside).alias("rejected"))
+    return out.select("doc_id", "lang", "digest", "n_chars_scored", F.exp("rate").alias("perplexity"), F.exp(low).alias("lower"), F.exp(high).alias("upper"), ((F.col("n_chars_scored") > 0) & outside).alias("rejected"))
+
+
+def classify(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
+    """doc_id, lang, n_chars_scored, perplexity, lower, upper, rejected of every row. how: quantile, margins, tokenizer_file."""
+    return _classify(docs, labels, **how).drop("digest")
 
 
 def keep(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """The rows that aren't rejected, with all their columns. A repeated doc_id goes if any of its rows is rejected."""
-    out = classify(docs, labels, **how).filter("rejected").select(F.col("doc_id").alias("_rejected")).distinct()
-    return docs.join(out, docs["doc_id"].eqNullSafe(F.col("_rejected")), "left_anti")
+    """The rows that aren't rejected, with all their columns. Rows equal in doc_id and text go if one of them is rejected."""
+    own = common.prefix(docs)
+    out = _classify(docs, labels, **how).filter("rejected").select(F.col("doc_id").alias(own + "id"), F.col("digest").alias(own + "digest")).distinct()
+    return docs.join(out, docs["doc_id"].cast("long").eqNullSafe(F.col(own + "id")) & (F.xxhash64(docs["text"]) == F.col(own + "digest")), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,6 +55,7 @@ def plain_model(texts):
 @pytest.mark.parametrize("salt_docs", [q.SALT_DOCS, 2])
 def test_scores_against_plain_counts(spark, monkeypatch, salt_docs):
     monkeypatch.setattr(q, "SALT_DOCS", salt_docs)
+    monkeypatch.setattr(q, "SALT_GRAMS", 1000)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
     monkeypatch.setattr(q.common, "bounded_batches", lambda s: s)
     texts = ["The cat sat. The cat ran!", "A dog, a cat; a cow", "the the the cow", "\u00c9a 12 - x \u6f22\u5b57"] * 2 + ["The cow sat on the cat"]
@@ -110,6 +111,16 @@ def test_held_out_accuracy(spark):
     assert kept.columns == docs.columns and kept.count() == sum(not x for x in got.values())
 
 
+def test_rows_of_one_id_go_by_their_own_texts(spark):
+    rows, labels = corpus()
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    junk = " ".join(["XQZ%d!!##" % i for i in range(80)])
+    extra = [(None, rows[1][1], "aa"), (None, junk, "aa"), (1, junk, "aa")]
+    docs = spark.createDataFrame(rows + extra, "doc_id long, text string, lang string")
+    kept = q.keep(docs, labels).filter("doc_id is null or doc_id = 1").collect()
+    assert sorted(r.text for r in kept) == [rows[1][1]] * 2
+
+
 def test_odd_tables(spark):
     docs = spark.createDataFrame([(1, None, None), (1, "", "aa"), (None, "word " * 20_000, "zz"), (2, "a b", "aa")], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(2, 1, 0), (2, 0, 0), (9, 1, 1)], "doc_id long, quality int, toxic int")
