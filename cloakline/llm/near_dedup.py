@@ -249,7 +249,9 @@ def meetings(rows: DataFrame) -> DataFrame:
     sizes = rows.groupBy("key").agg(F.floor((F.count("*") - 1) / BLOCK).cast("int").alias("last")).withColumnRenamed("key", "_key")
     rows = rows.join(sizes, F.col("key") == F.col("_key")).drop("_key").withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("last") + 1).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
-    return rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "last")
+    rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "last")
+    # Else rows that a join has dealt by key would stay so, and a bucket's meetings would all be one task's.
+    return rows.repartition("key", "i", "j")
 
 
 def across(members: DataFrame, of: DataFrame, signatures: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -357,17 +359,18 @@ def deduplicate(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The rows whose document stays, with all their columns: one document of each group."""
     found = common.staged(classed(docs, percent).select("doc_id", "class", "kept"), "found")
     ids = common.staged(found.groupBy("doc_id").agg(F.bool_or("kept").alias("some"), F.bool_and("kept").alias("every")).filter("some"), "kept_ids")
+    own = common.prefix(docs)
     number = F.coalesce(docs["doc_id"].cast("long"), F.lit(GREATEST))
-    whole = docs.join(ids.filter("every").select(F.col("doc_id").alias("_kept_id")), number == F.col("_kept_id"), "left_semi")
-    partly = ids.filter("not every").select(F.col("doc_id").alias("_partly"))
+    whole = docs.join(ids.filter("every").select(F.col("doc_id").alias(own + "id")), number == F.col(own + "id"), "left_semi")
+    partly = ids.filter("not every").select(F.col("doc_id").alias(own + "id"))
     if partly.isEmpty():
         return whole
     # Of an id with rows that stay and rows that go, those stay whose set does.
-    own = F.udf(lambda text: digest(x) if len(x := shingles(text)) else None, "string")
-    some = docs.join(partly, number == F.col("_partly"), "left_semi").withColumn("_class", own("text")).withColumn("_number", number)
-    stay = found.filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("class").alias("_kept_class")).distinct()
-    some = some.join(stay, (F.col("_number") == F.col("_kept_id")) & F.col("_class").eqNullSafe(F.col("_kept_class")), "left_semi")
-    return whole.unionByName(some.drop("_class", "_number"))
+    class_of = F.udf(lambda text: digest(x) if len(x := shingles(text)) else None, "string")
+    stay = found.filter("kept").join(partly, F.col("doc_id") == F.col(own + "id"), "left_semi").select(F.col("doc_id").alias(own + "id"), F.col("class").alias(own + "class")).distinct()
+    some = docs.join(partly, number == F.col(own + "id"), "left_semi").withColumn(own + "own", class_of("text"))
+    some = some.join(stay, (F.coalesce(some["doc_id"].cast("long"), F.lit(GREATEST)) == F.col(own + "id")) & F.col(own + "own").eqNullSafe(F.col(own + "class")), "left_semi")
+    return whole.unionByName(some.drop(own + "own"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
