@@ -91,8 +91,11 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     return words, place[np.searchsorted(owner, np.arange(blocks))]
 
 
-def unpack(words: np.ndarray) -> np.ndarray:
-    """Ids of whole blocks' words. Escaped words are found first, since their second half has no selector."""
+def unpack(words: np.ndarray, places: np.ndarray | None = None, block: int = BLOCK) -> np.ndarray:
+    """Ids of whole blocks' words. Escaped words are found first, since their second half has no selector.
+
+    With the block table, every block must hold block ids, the last one at most as many.
+    """
     words = np.asarray(words, dtype=np.uint64)
     selectors = (words >> np.uint64(60)).astype(np.int64)
     raw = np.zeros(len(words), bool)
@@ -104,6 +107,8 @@ def unpack(words: np.ndarray) -> np.ndarray:
             last = i + 1
     counts = np.where(raw, 1, np.r_[COUNTS, 0, 0][selectors])
     place = np.cumsum(counts) - counts
+    if places is not None and len(words) and (place[places] != np.arange(len(places)) * block).any():
+        raise ValueError("words and block table don't agree")
     out = np.zeros(int(counts.sum()), np.uint64)
     out[place[raw]] = words[raw]
     for selector in range(len(COUNTS)):
@@ -140,6 +145,13 @@ def read_image(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return body[cuts[0] : cuts[1]], body[cuts[1] : cuts[2]], body[cuts[2] : cuts[3]], body[cuts[3] : cuts[4]].view("<u8")
 
 
+def unpack_range(words: np.ndarray, places: np.ndarray, start: int, end: int, block: int = BLOCK) -> np.ndarray:
+    """Ids start to end alone: only the blocks that hold them are decoded."""
+    first, last = start // block, -(-end // block)
+    stop = places[last] if last < len(places) else len(words)
+    return unpack(words[places[first] : stop])[start - first * block : end - first * block] if end > start else np.zeros(0, np.uint64)
+
+
 class Encoder(pieces.WordIds):
     """The tokenizers library for new words. Words of ASCII letters go to the library's model, which is all that such a
     tokenizer does with them once they are lower-cased (a check at the start confirms both). New words of other letters
@@ -269,8 +281,8 @@ def read(spark: SparkSession, path: str, digest_only: bool = True) -> DataFrame:
     def run(batches):
         for batch in batches:
             for shard, first, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                doc_ids, lengths, _, words = read_image(payload.as_buffer().to_pybytes())
-                ids = unpack(words).astype("<u4")
+                doc_ids, lengths, places, words = read_image(payload.as_buffer().to_pybytes())
+                ids = unpack(words, places).astype("<u4")
                 ends = np.cumsum(lengths)
                 starts = ends - lengths
                 parts = [ids[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
@@ -287,6 +299,22 @@ def read(spark: SparkSession, path: str, digest_only: bool = True) -> DataFrame:
     return rows.select(F.when(F.col("doc_id") != lowest, F.col("doc_id")).alias("doc_id"), (F.col("before") + F.col("first")).alias("start"), "n_tokens", "ids_crc32" if digest_only else "ids")
 
 
+def read_some(spark: SparkSession, path: str, wanted: list[int]) -> DataFrame:
+    """doc_id and ids of a few documents (a bounded list): images pass by, and only their blocks are decoded."""
+    asked = np.array(sorted(set(wanted)), np.int64)
+
+    def run(batches):
+        for batch in batches:
+            for payload in batch.column(0):
+                doc_ids, lengths, places, words = read_image(payload.as_buffer().to_pybytes())
+                ends = np.cumsum(lengths)
+                hit = np.flatnonzero(np.isin(doc_ids, asked))
+                rows = [unpack_range(words, places, int(ends[k] - lengths[k]), int(ends[k])).astype(np.int64) for k in hit]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(doc_ids[hit])), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "ids"])
+
+    return spark.read.schema(FILE_SCHEMA).parquet(path).select("payload").mapInArrow(common.tidy(run), "doc_id long, ids array<long>")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cloakline.llm.bpe import word_bpe_file
 

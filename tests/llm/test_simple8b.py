@@ -20,6 +20,16 @@ def test_round_trip(values):
         assert (simple8b.unpack_block(words, places, b) == ids[b * simple8b.BLOCK : (b + 1) * simple8b.BLOCK]).all()
 
 
+def test_ranges_and_the_block_table():
+    ids = np.array([i * i if i % 7 else 1 << 62 for i in range(1000)], np.uint64)
+    words, places = simple8b.pack(ids)
+    for a, b in ((0, 1000), (0, 0), (5, 6), (127, 129), (128, 256), (990, 1000), (300, 300)):
+        assert (simple8b.unpack_range(words, places, a, b) == ids[a:b]).all()
+    assert (simple8b.unpack(words, places) == ids).all()
+    with pytest.raises(ValueError):
+        simple8b.unpack(words, places + np.arange(len(places)) % 2)
+
+
 def test_words_are_as_full_as_greedy_packing():
     ids = np.array([1] * 60 + [1 << 14] * 4 + [1 << 59], np.uint64)
     words, _ = simple8b.pack(ids, block=1000)
@@ -39,6 +49,8 @@ def test_files_round_trip(spark):
     path = common.fresh_path(spark, "ids")
     simple8b.write(docs, word_bpe_file(), 2, path)
     library = Tokenizer.from_file(word_bpe_file())
+    some = {r.doc_id: r.ids for r in simple8b.read_some(spark, path, [9, 2, 77]).collect()}
+    assert some == {k: [*library.encode(texts[k], add_special_tokens=False).ids, 2] for k in (9, 2)}
     start = 0
     rows = {r.doc_id: r for r in simple8b.read(spark, path).collect()}
     whole = {r.doc_id: r.ids for r in simple8b.read(spark, path, digest_only=False).collect()}
