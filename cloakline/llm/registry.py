@@ -16,7 +16,6 @@ QUERIES = {
     "op8_quality": "cloakline.llm.quality",
     "op9_warc": "cloakline.llm.warc",
     "op10_mixture": "cloakline.llm.mixture",
-    "pipeline": "corpus_pipeline",
 }
 #: Modules that define ORACLE_SQL for their query.
 WITH_SQL: tuple[str, ...] = ("op3_exact_dedup", "op6_chat", "op9_warc")
