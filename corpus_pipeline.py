@@ -44,10 +44,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    """The last stage's rows. What a stage wrote on its way is deleted once its result is written."""
+    docs, before = common.table(spark, sf_dir, "documents"), common.written()
     for name, stage in STAGES[:-1]:
-        docs = common.staged(stage(spark, docs, sf_dir), name)
+        path = common.fresh_path(spark, name)
+        docs = common.put(stage(spark, docs, sf_dir), path)
+        common.sweep(spark, before, (path,))
     return STAGES[-1][1](spark, docs, sf_dir)
-
-
-query = run
