@@ -29,7 +29,7 @@ P = (1 << 31) - 1
 POINTS = (1_103_515_245, 1_735_930_001, 742_938_285)
 CHUNK = 1 << 16
 #: Code points from which a text is hashed in chunk rows of its own.
-HUGE = 1 << 22
+HUGE = 1 << 15
 #: Rows of a group that one salt takes.
 SALT_ROWS = 400
 HASH_SCHEMA = "doc_id long, n_bytes long, fingerprint string, text_sha256 string"
@@ -94,13 +94,13 @@ def fingerprints(docs: DataFrame, points: tuple[int, ...] = POINTS, huge: int =
             n, hashes = zip(*out, strict=True) if out else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(n, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], names=["doc_id", "text_sha256", "k", "n", "h"])
 
-    small = rows.filter(F.length("text") <= huge).mapInArrow(whole, HASH_SCHEMA)
+    small = rows.filter(F.length("text") <= huge).mapInArrow(common.tidy(whole), HASH_SCHEMA)
     # A repeated huge row would fold its chunks twice; its digest is the same, so it is counted and put back.
     large = rows.filter(F.length("text") > huge).withColumn("text_sha256", F.sha2(common.ascii_lower(F.col("text")), 256))
     times = large.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("times"))
     chunks = large.dropDuplicates(["doc_id", "text_sha256"]).select("doc_id", "text_sha256", F.explode(F.expr(f"sequence(0L, (length(text) - 1) div {huge})")).alias("k"), "text")
     chunks = chunks.select("doc_id", "text_sha256", "k", F.expr(f"substring(text, cast(k * {huge} + 1 as int), {huge})").alias("part"))
-    hashed = chunks.repartition("doc_id", "k").mapInArrow(parts, "doc_id long, text_sha256 string, k long, n long, h array<long>")
+    hashed = chunks.repartition("doc_id", "k").mapInArrow(common.tidy(parts), "doc_id long, text_sha256 string, k long, n long, h array<long>")
     folded = hashed.groupBy("doc_id", "text_sha256").agg(F.array_sort(F.collect_list(F.struct("k", "n", "h"))).alias("parts"), F.sum("n").alias("n_bytes"))
 
     def join_parts(batches):
@@ -160,11 +160,12 @@ def groups(docs: DataFrame, points: tuple[int, ...] = POINTS, huge: int = HUGE)
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows that stay, with all their columns; of rows equal in text and doc_id one stays."""
-    kept = groups(docs).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")).distinct()
+    own = common.prefix(docs)
+    kept = groups(docs).filter("kept").select(F.col("doc_id").alias(own + "id"), F.col("text_sha256").alias(own + "sha")).distinct()
     digest = F.sha2(common.ascii_lower(F.coalesce("text", F.lit(""))), 256)
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]) & (digest == F.col("_kept_sha")), "left_semi")
-    repeated = docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
-    return rows if repeated else rows.withColumn("_digest", digest).dropDuplicates(["doc_id", "_digest"]).drop("_digest")
+    rows = docs.join(kept, docs["doc_id"].eqNullSafe(F.col(own + "id")) & (digest == F.col(own + "sha")), "left_semi")
+    unique = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    return rows if unique else rows.withColumn(own + "digest", digest).dropDuplicates(["doc_id", own + "digest"]).drop(own + "digest")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
