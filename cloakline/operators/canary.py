@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,23 @@ def log2_bucket(value: Column) -> Column:
     return F.length(F.bin(F.greatest(value.cast("long"), F.lit(1)))) - 1
 
 
+def log2_scaled(value: Column, times: int, plus: int) -> Column:
+    """log2_bucket of value * times + plus, exact though that has more bits than any number type.
+
+    value is whole and from 0 to 2**126 (the square of any long), times below 2**20, plus small. The number is looked at
+    in three parts: what is above bit 84, bits 42 to 83, and the lowest 42.
+    """
+    whole, upper, lower = value.cast("decimal(38,0)"), F.lit(Decimal(1 << 84)), F.lit(Decimal(1 << 42))
+    low = whole % upper * F.lit(Decimal(times)) + F.lit(Decimal(plus))
+    top = _div(whole, upper) * times + _div(low + upper, upper) - 1
+    middle = _div(low % upper, lower)
+    return F.when(top > 0, log2_bucket(top) + 84).when(middle > 0, log2_bucket(middle) + 42).otherwise(log2_bucket(low % lower))
+
+
+def _div(a: Column, b: Column) -> Column:
+    return F.call_function("div", a, b)
+
+
 def by_distance(a: Column, b: Column, scores: tuple[float, ...]) -> Column:
     out = F.lit(0.0)
     for distance, score in enumerate(scores):

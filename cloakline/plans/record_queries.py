@@ -373,7 +373,8 @@ def prompt_rotation(spark, d):
 
 @query("log2_bucket", "SELECT event_id, cast(length(bin(greatest(event_id * event_id * 1000003 - 5, 1))) - 1 AS BIGINT) AS bucket FROM events")
 def log2_bucket(spark, d):
-    return spark.read.parquet(f"{d}/events.parquet").select("event_id", canary.log2_bucket(F.col("event_id") * F.col("event_id") * 1000003 - 5).alias("bucket"))
+    whole = F.col("event_id").cast("decimal(19,0)")
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", canary.log2_scaled(whole * whole, 1000003, -5).alias("bucket"))
 
 
 @query("metrics_counters", "SELECT 'cloakline_requests_total' AS metric, event_type AS label, count(*)::DOUBLE AS value, 'cloakline_requests_total{status=\"' || event_type || '\"} ' || count(*) AS line FROM events GROUP BY event_type")
