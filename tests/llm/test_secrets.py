@@ -89,3 +89,42 @@ def test_sample_and_weights_do_not_follow_the_layout(spark):
     one = secrets.sample(docs.coalesce(1))
     assert one == secrets.sample(docs.repartition(7)) == secrets.sample(docs.repartition(3, "text")) and 200 < len(one) <= secrets.SAMPLE
     assert (secrets.train(one[:40]).w == secrets.train(one[:40]).w).all()
+
+
+def test_secrets_that_are_short_or_look_like_words(field):
+    for text, secret in (("login with pwd=x7Kq2 today", "x7Kq2"), ("pwd=hunter and more", "hunter"), ("db_pass = 'correcthorsebattery' here", "correcthorsebattery"), ("PWD: 48213\nnext", "48213")):
+        assert [text[a:b] for a, _, b in secrets.field_spans(text, field)] == [secret], text
+    assert not secrets.field_spans("the password is kept in the vault, ask for hunter or the horse battery 48213", field)
+
+
+@pytest.mark.parametrize("block", [1, 9, 1 << 18])
+def test_best_path_goes_through_all_tokens(field, monkeypatch, block):
+    """Against Viterbi over every token at once, with trained and with random weights, in small and large blocks."""
+    rng = np.random.default_rng(block)
+    monkeypatch.setattr(secrets, "BLOCK", block)
+    own = secrets.Field()
+    own.w, own.steps = rng.normal(size=own.w.shape) / 3, rng.normal(size=(3, 3))
+    own.w[:, 0] += 0.25
+    own.steps[0, 2] = -1e6
+    texts = [text for text, _ in secrets.made_up(25, seed=7)] + ["pwd", "  ", "é😀\n" * 20, "key: " * 30 + "a"]
+    shares = []
+    for f, text in itertools.product((field, own), texts):
+        found = list(secrets.WORD.finditer(text))
+        want = []
+        rows = f.words().rows([""] * secrets.BACK + [m[0] for m in found] + [""], secrets.file_numbers(text))
+        assert len(rows) == len(found)
+        for m, label in zip(found, f.viterbi(rows) if found else [], strict=True):
+            if label == secrets.BEGIN:
+                want.append((m.start(), 3, m.end()))
+            elif label == secrets.INSIDE:
+                want[-1] = (want[-1][0], 3, m.end())
+        assert secrets.field_spans(text, f) == want
+        shares.append(len(list(secrets.open_tokens(text, f))) / max(len(found), 1))
+    assert 0 < np.mean(shares[len(texts) :]) < 1
+
+
+def test_scores_do_not_depend_on_the_words_kept(field, monkeypatch):
+    texts = [text for text, _ in secrets.made_up(40, seed=5)]
+    want = [secrets.field_spans(text, field) for text in texts]
+    monkeypatch.setattr(secrets, "KEPT", 10)
+    assert [secrets.field_spans(text, field) for text in reversed(texts)] == want[::-1] and any(want)
