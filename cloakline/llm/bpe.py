@@ -304,6 +304,10 @@ class Codec(pieces.WordIds):
 
     def digests(self, texts: pa.Array) -> tuple[np.ndarray, list[str], list[str]]:
         """Of each text: how many ids, the digest of ids in decimal, the digest of the decoded text."""
+        n, ids, decoded = zip(*map(self._digests, pieces.parts(texts)), strict=True)
+        return np.concatenate(n), [x for part in ids for x in part], [x for part in decoded for x in part]
+
+    def _digests(self, texts: pa.Array) -> tuple[np.ndarray, list[str], list[str]]:
         offsets, codes, every, starts, sizes = self.of_batch(texts)
         ends = pa.array(np.r_[starts, len(every)].astype(np.int32))
         joined = [pc.binary_join(pa.ListArray.from_arrays(ends, table.take(pa.array(every))), SPACE) for table in (self.digits_of, self.label_of)]
@@ -333,16 +337,10 @@ def compiled(source: str) -> Automaton:
     return Automaton(model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]])
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def codec(shared: tuple[str, str, Automaton]) -> Codec:
     """One codec for each worker, of the broadcast tables."""
     key, source, automaton = shared
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(source, automaton)
-    return _codecs[key]
+    return common.kept(("codec", key), lambda: Codec(source, automaton))
 
 
 def broadcast(spark: SparkSession, tokenizer_file: str) -> Broadcast:
@@ -362,7 +360,7 @@ def encode_decode(docs: DataFrame, tokenizer_file: str) -> DataFrame:
             n, ids, decoded = own.digests(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(common.tidy(run), SCHEMA)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(common.tidy(run, keeps=True), SCHEMA)
 
 
 def encode_ids(docs: DataFrame, tokenizer_file: str) -> DataFrame:
@@ -374,7 +372,7 @@ def encode_ids(docs: DataFrame, tokenizer_file: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.encode(t.as_py()) for t in batch.column(1)], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(common.tidy(run), "doc_id long, ids array<int>")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(common.tidy(run, keeps=True), "doc_id long, ids array<int>")
 
 
 def decode_ids(encoded: DataFrame, tokenizer_file: str) -> DataFrame:
@@ -386,7 +384,7 @@ def decode_ids(encoded: DataFrame, tokenizer_file: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.decode(x.as_py() or ()) for x in batch.column(1)], pa.string())], names=["doc_id", "text"])
 
-    return encoded.selectExpr("cast(doc_id as long) doc_id", "ids").mapInArrow(common.tidy(run), "doc_id long, text string")
+    return encoded.selectExpr("cast(doc_id as long) doc_id", "ids").mapInArrow(common.tidy(run, keeps=True), "doc_id long, text string")
 
 
 def word_bpe_file() -> str:

@@ -123,18 +123,42 @@ def marked(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
     return (bits[places // 63] >> (places % 63)) & 1 == 1
 
 
-def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """run for mapInArrow, after which the worker, which serves later stages too, gives back what it has freed."""
+#: What a Python worker keeps from task to task.
+_kept: dict[tuple, object] = {}
+
+
+def kept(key: tuple, make: Callable[[], object]):
+    """make()'s value, kept for the worker's next tasks: one at a time, so what an earlier stage kept goes."""
+    if key not in _kept:
+        give_back(forget=True)
+        _kept[key] = make()
+    return _kept[key]
+
+
+def give_back(forget: bool = False) -> None:
+    """Give what is free back to the system; forget: what is kept, too."""
+    if forget:
+        _kept.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def tidy(run: Callable[[Iterator], Iterator], keeps: bool = False) -> Callable[[Iterator], Iterator]:
+    """run for mapInArrow, after which the worker, which serves later stages too, gives back what it has freed.
+
+    keeps: run uses what is kept; else that is forgotten first.
+    """
 
     def tidied(batches: Iterator) -> Iterator:
+        if not keeps:
+            give_back(forget=True)
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except (OSError, AttributeError):  # not glibc
-                pass
+            give_back()
 
     return tidied

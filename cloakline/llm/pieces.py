@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,16 @@ import pyarrow.compute as pc
 
 #: Words of one generation of a worker's cache, and characters of the longest that it keeps.
 WORDS_CACHED, CACHED_CHARS = 400_000, 64
+#: Bytes of text that are worked on at once, besides those of the last row.
+PART_BYTES = 2 << 20
+
+
+def parts(texts: pa.Array) -> Iterator[pa.Array]:
+    """All texts in order, in parts of PART_BYTES: what is made of a part is several times its size."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64)
+    cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // PART_BYTES)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(texts)], strict=True):
+        yield texts.slice(a, b - a)
 
 
 def numbered(strings: pa.Array) -> tuple[np.ndarray, pa.Array]:

@@ -26,6 +26,7 @@ A null doc_id is never trusted. Extra columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import ne
 
@@ -36,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakline.llm import common, simple8b
+from cloakline.llm import common, pieces, simple8b
 from cloakline.llm.bpe import word_bpe_file
 
 PRIOR = 60
@@ -70,14 +71,15 @@ class Symbols:
         self.start = max(self.encoder.tokenizer.get_vocab(with_added_tokens=True).values(), default=-1) + 1
         self.size = self.start + 1
 
-    def pairs(self, texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
-        """Of each text: its pairs as numbers, previous symbol times size plus symbol; its characters."""
-        words = [distinct_words(t) for t in texts.to_pylist()]
-        out = []
-        for data in self.encoder.encode([w for w, _ in words]):
-            ids = np.r_[self.start, np.frombuffer(data, "<u4")].astype(np.int64)
-            out.append(ids[:-1] * self.size + ids[1:])
-        return out, np.array([n for _, n in words], np.int64)
+    def pairs(self, texts: pa.Array) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+        """Part by part, of each text: its pairs as numbers, previous symbol times size plus symbol; its characters."""
+        for part in pieces.parts(texts):
+            words = [distinct_words(t) for t in part.to_pylist()]
+            out = []
+            for data in self.encoder.encode([w for w, _ in words]):
+                ids = np.r_[self.start, np.frombuffer(data, "<u4")].astype(np.int64)
+                out.append(ids[:-1] * self.size + ids[1:])
+            yield out, np.array([n for _, n in words], np.int64)
 
 
 def source_of(tokenizer_file: str | None) -> str:
@@ -85,26 +87,36 @@ def source_of(tokenizer_file: str | None) -> str:
         return file.read()
 
 
+def summed(several: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers in order, each once, and the sums of their counts."""
+    keys, counts = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*several, strict=True) if several else ((), ())))
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
 def gram_counts(texts: DataFrame, source) -> DataFrame:
     """gram, n: counts of pairs over all rows; each task sums its own first."""
 
     def run(batches):
-        symbols, keys, counts = Symbols(source.value), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        symbols, (keys, counts), new, size = Symbols(source.value), summed([]), [], 0
         for batch in batches:
-            own = np.concatenate([np.zeros(0, np.int64), *symbols.pairs(batch.column(0))[0]])
-            new, n = np.unique(own, return_counts=True)
-            keys, at = np.unique(np.r_[keys, new], return_inverse=True)
-            counts = np.bincount(at, weights=np.r_[counts, n], minlength=len(keys)).astype(np.int64)
-            if len(keys) > HELD:
-                yield from rows(keys, counts)
-                keys, counts = keys[:0], counts[:0]
-        yield from rows(keys, counts)
+            for own, _ in symbols.pairs(batch.column(0)):
+                new.append(np.unique(np.concatenate([np.zeros(0, np.int64), *own]), return_counts=True))
+                size += len(new[-1][0])
+                if size > HELD // 4:
+                    (keys, counts), new, size = summed([(keys, counts), *new]), [], 0
+                if len(keys) > HELD:
+                    yield from rows(keys, counts)
+                    keys, counts = keys[:0], counts[:0]
+        yield from rows(*summed([(keys, counts), *new]))
 
     def rows(keys, counts):
         for k in range(0, len(keys), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 100_000]), pa.array(counts[k : k + 100_000])], names=["gram", "n"])
 
-    return texts.mapInArrow(common.tidy(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(common.tidy(run, keeps=True), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def discounts_of(n1: int, n2: int, n3: int, n4: int) -> list[float]:
@@ -180,6 +192,15 @@ COUNTS, PAIRS, DOCUMENTS = 0, 1, 2
 SUMS = "block long, shard int, payload binary"
 
 
+def counted(own: list[np.ndarray], first: int, model: Lower) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of some of a block's documents, numbered from first on: each one's pairs once, the document, how often; each one's base."""
+    each = [np.unique(g, return_counts=True) for g in own]
+    doc = np.repeat(np.arange(len(each)), [len(g) for g, _ in each])
+    grams, times = (np.concatenate(x) for x in zip(*each, strict=True))
+    base = -np.bincount(doc, weights=times * model.base(grams), minlength=len(each))
+    return grams, (doc + first).astype("<u2"), times.astype("<u4"), base
+
+
 def blocks(docs: DataFrame, source, lower, salts: int) -> DataFrame:
     """MEETING rows of documents. An Arrow batch is a block; its number follows from where its rows lie."""
 
@@ -188,29 +209,32 @@ def blocks(docs: DataFrame, source, lower, salts: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            own, chars = symbols.pairs(batch.column(2))
-            each = [np.unique(g, return_counts=True) for g in own]
-            model, doc = lower.value, np.repeat(np.arange(len(each)), [len(g) for g, _ in each])
-            grams, times = np.concatenate([g for g, _ in each]), np.concatenate([n for _, n in each])
-            base = -np.bincount(doc, weights=times * model.base(grams), minlength=len(each))
+            found, first = [], 0
+            for own, chars in symbols.pairs(batch.column(2)):
+                found.append((*counted(own, first, lower.value), chars))
+                first += len(own)
+            grams, doc, times, base, chars = map(np.concatenate, zip(*found, strict=True))
+            found.clear()
             info = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(chars), pa.array(base)], schema=DOCS).serialize().to_pybytes()
-            shard = shard_of(grams)
-            order = np.lexsort((doc, grams, shard))
-            bounds = np.searchsorted(shard[order], np.arange(SHARDS + 1))
-            parts = [(s, order[a:b]) for s, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if b > a]
-            payloads = [packed(grams[at], doc[at], times[at]) for _, at in parts]
+            shard, parts, payloads = shard_of(grams).astype(np.uint8), [], []
+            for s in range(SHARDS):
+                at = np.flatnonzero(shard == s)
+                if len(at):
+                    at = at[np.argsort(grams[at], kind="stable")]  # a pair's documents stay in order
+                    parts.append(s)
+                    payloads.append(packed(grams[at], doc[at], times[at]))
             n = len(parts) + 1
             salt, rest = (number + (number >> 24)) % salts, (number + (number >> 24)) % SHARDS
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([*(s for s, _ in parts), rest], pa.int32()), pa.array([salt] * n, pa.int32()), pa.array([PAIRS] * len(parts) + [DOCUMENTS], pa.int32()),
+                    pa.array([*parts, rest], pa.int32()), pa.array([salt] * n, pa.int32()), pa.array([PAIRS] * len(parts) + [DOCUMENTS], pa.int32()),
                     pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([number] * n, pa.int64()), pa.array([*payloads, info], pa.binary()),
                 ],
                 names=[x.split(" ")[0] for x in MEETING.split(", ")],
             )
             number += 1
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text", F.xxhash64("text").alias("digest")).mapInArrow(common.tidy(run), MEETING)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text", F.xxhash64("text").alias("digest")).mapInArrow(common.tidy(run, keeps=True), MEETING)
 
 
 def gains(meeting: DataFrame, lower) -> DataFrame:

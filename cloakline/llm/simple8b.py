@@ -206,27 +206,21 @@ class Encoder(pieces.WordIds):
         """Little-endian 32-bit ids of each text."""
         if not isinstance(texts, pa.Array):
             texts = pa.array(texts, pa.string())
-        offsets, codes, every, starts, sizes = self.of_batch(texts)
         out: list[bytes] = []
-        for a in range(0, len(texts), 128):
-            cuts = offsets[a : a + 129]
-            some = codes[cuts[0] : cuts[-1]]
-            ids = every[pieces.spread(some, starts, sizes)]
-            places = np.r_[0, np.cumsum(sizes[some])][cuts - cuts[0]].tolist()
-            out += [ids[x:y].tobytes() for x, y in pairwise(places)]
+        for part in pieces.parts(texts):
+            offsets, codes, every, starts, sizes = self.of_batch(part)
+            for a in range(0, len(part), 128):
+                cuts = offsets[a : a + 129]
+                some = codes[cuts[0] : cuts[-1]]
+                ids = every[pieces.spread(some, starts, sizes)]
+                places = np.r_[0, np.cumsum(sizes[some])][cuts - cuts[0]].tolist()
+                out += [ids[x:y].tobytes() for x, y in pairwise(places)]
         return out
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(source: str) -> Encoder:
-    key = hashlib.sha256(source.encode()).hexdigest()
-    if key not in _encoders:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        _encoders.clear()
-        _encoders[key] = Encoder(source)
-    return _encoders[key]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+    return common.kept(("encoder", hashlib.sha256(source.encode()).hexdigest()), lambda: Encoder(source))
 
 
 def write(docs: DataFrame, tokenizer_file: str, end_id: int | None, path: str) -> None:
@@ -265,7 +259,7 @@ def write(docs: DataFrame, tokenizer_file: str, end_id: int | None, path: str) -
     # A doc_id of very many rows goes to as many ranges as its texts' hashes need; equal rows may lie in any order.
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("doc_id"), "text").withColumn("h", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
     ranged = rows.repartitionByRange(n, "doc_id", "h", "row").sortWithinPartitions("doc_id", "h", "row")
-    ranged.select(F.spark_partition_id().alias("shard"), "doc_id", "text").mapInArrow(common.tidy(run), FILE_SCHEMA).write.option("compression", "none").parquet(path)
+    ranged.select(F.spark_partition_id().alias("shard"), "doc_id", "text").mapInArrow(common.tidy(run, keeps=True), FILE_SCHEMA).write.option("compression", "none").parquet(path)
 
 
 def read(spark: SparkSession, path: str, digest_only: bool = True) -> DataFrame:
